@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.shared import small_batches, without
-from corvane.llm.words import word_hashes
+from corvane.llm.words import combine, mix, word_hashes
 
 BITS = 18
 
@@ -65,12 +65,33 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return np.repeat(np.arange(len(parts)), sizes), np.concatenate(parts) if parts else np.zeros(0, np.int32), len(parts)
 
 
-def nnpu_fit(pos: tuple[np.ndarray, np.ndarray, int], unl: tuple[np.ndarray, np.ndarray, int], prior: float, classifiers: int = 3, steps: int = 150, rate: float = 2.0, decay: float = 1e-4, min_z: float = 4.0, seed: int = 5) -> ToxicityModel:
+def _spread(rows: np.ndarray, feats: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sample less near copies of its own documents, whose shared words would pass for evidence many times over."""
+    if not n or not len(feats):
+        return rows, feats, n
+    begin = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    at = rows[begin]
+    keep = np.ones(n, bool)
+    for band in range(6):
+        sig = [np.minimum.reduceat(mix(feats.astype(np.uint64) + np.uint64((band * 3 + k + 1) << 32)), begin) for k in range(3)]
+        key = combine(combine(sig[0], sig[1]), sig[2])
+        _, first = np.unique(key, return_index=True)
+        again = np.ones(len(key), bool)
+        again[first] = False
+        keep[at[again]] = False
+    to = np.cumsum(keep) - 1
+    k = keep[rows]
+    return to[rows[k]], feats[k], int(keep.sum())
+
+
+def nnpu_fit(pos: tuple[np.ndarray, np.ndarray, int], unl: tuple[np.ndarray, np.ndarray, int], prior: float, classifiers: int = 3, steps: int = 600, rate: float = 3.0, decay: float = 1e-4, min_z: float = 4.0, seed: int = 5) -> ToxicityModel:
     """Classifiers from (row, feature, rows) of positive and unlabelled documents.
 
     Words are left out whose share of documents doesn't differ between the two samples by ``min_z`` standard
-    errors: they carry no evidence, and in long texts their noise adds up. Each classifier sees a bootstrap sample.
+    errors: they carry no evidence, and in long texts their noise adds up. Near copies within a sample count once.
+    Each classifier sees a bootstrap sample.
     """
+    pos, unl = _spread(*pos), _spread(*unl)
     size = 1 << BITS
     n_p, n_u = max(pos[2], 1), max(unl[2], 1)
     c_p, c_u = np.bincount(pos[1], minlength=size), np.bincount(unl[1], minlength=size)
@@ -111,8 +132,8 @@ def nnpu_fit(pos: tuple[np.ndarray, np.ndarray, int], unl: tuple[np.ndarray, np.
 def fit_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = 6_000, max_unlabelled: int = 12_000, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> ToxicityModel:
     """A model from ``docs`` and the rows of ``labels`` with ``toxic`` = 1; other labels only set the default ``prior``.
 
-    The sample is bounded: ``max_positive`` confirmed and ``max_unlabelled`` other documents, chosen by hash. ``prior``:
-    share of toxic documents among the unlabelled; None: their share among the labelled rows, at least 0.001 and at most
+    The sample is bounded: ``max_positive`` confirmed and ``max_unlabelled`` documents of any kind, chosen by hash. ``prior``:
+    share of toxic documents in ``docs``; None: their share among the labelled rows, at least 0.001 and at most
     0.5. Null ids match nothing; null labels count as unlabelled; null texts have no words. Without a positive or without an
     unlabelled document the model rejects nothing.
     """
@@ -123,8 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None,
     toxic = marks.filter("toxic = 1").select("id").distinct()
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     pos = _collected(_sample(lean.join(toxic, "id", "left_semi"), max_positive))
-    # hash of the id first: only about max_unlabelled texts are ever sorted
-    unl = _collected(_sample(lean.join(toxic, "id", "left_anti"), max_unlabelled))
+    unl = _collected(_sample(lean, max_unlabelled))  # of all documents: the prior is a share of these
     return nnpu_fit(pos, unl, prior)
 
 
