@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import small_batches, without
+from corvane.llm.shared import small_batches, without, written
 from corvane.llm.words import combine, mix, word_hashes
 
 BITS = 18
@@ -45,9 +45,19 @@ def _features(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _sample(docs: DataFrame, n: int) -> DataFrame:
-    """About ``n`` rows, chosen by a hash of the text, so that the same rows give the same sample on any cluster."""
-    small_batches(docs.sparkSession)
-    return docs.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(n).select("text")
+    """About ``n`` rows of different texts, chosen by a hash of the text, so that the same rows give the same sample on any cluster.
+
+    Only hashes are sorted and shuffled, those under a bound that about ``2 * n`` rows are under; the at most ``n`` chosen
+    ones are broadcast, and texts are read in place.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    rows = max(1, docs.count())
+    below = -(1 << 63) + int((1 << 64) * min(1.0, 2 * n / rows))
+    some = hashed.select("h").filter(F.col("h") < F.lit(below)) if below < 1 << 63 else hashed.select("h")
+    chosen = some.distinct().orderBy("h").limit(n)
+    return hashed.join(F.broadcast(written(chosen, "sample")), "h")
 
 
 def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -58,9 +68,10 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 cut = np.flatnonzero(np.diff(row)) + 1
                 for r, part in zip(row[np.r_[0, cut]] if len(row) else (), np.split(f, cut)):
                     feats[r] = part.astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in feats], pa.binary())], names=["f"])
+            yield pa.RecordBatch.from_arrays([b["h"], pa.array([x.tobytes() for x in feats], pa.binary())], names=["h", "f"])
 
-    parts = [np.frombuffer(r, np.int32) for r in rows.mapInArrow(run, "f binary").toArrow()["f"].to_pylist()]
+    one = rows.mapInArrow(run, "h long, f binary").dropDuplicates(["h"])
+    parts = [np.frombuffer(r, np.int32) for r in one.toArrow()["f"].to_pylist()]
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     return np.repeat(np.arange(len(parts)), sizes), np.concatenate(parts) if parts else np.zeros(0, np.int32), len(parts)
 
@@ -141,9 +152,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, prior: float | None = None,
     if prior is None:
         share = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
         prior = min(0.5, max(0.001, share or 0.001))
-    toxic = marks.filter("toxic = 1").select("id").distinct()
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    pos = _collected(_sample(lean.join(toxic, "id", "left_semi"), max_positive))
+    # of the confirmed ids only those of the least hashes, so that a broadcast of them is bounded
+    toxic = marks.filter("toxic = 1").select("id").distinct().join(lean.select("id").distinct(), "id", "left_semi")
+    toxic = written(toxic.select("id", F.xxhash64("id").alias("k")).orderBy("k", "id").limit(max_positive).select("id"), "confirmed")
+    pos = _collected(_sample(lean.join(F.broadcast(toxic), "id", "left_semi"), max_positive))
     unl = _collected(_sample(lean, max_unlabelled))  # of all documents: the prior is a share of these
     return nnpu_fit(pos, unl, prior)
 
