@@ -28,6 +28,8 @@ from corvane.llm.shared import small_batches
 from corvane.llm.words import word_hashes
 
 BITS, BLOCK, RANK = 16, 24, 64
+_SPOTS = 4
+_AT_ONCE = 1 << 22
 _SIZE = 1 << BITS
 _PARTS = 16
 
@@ -103,27 +105,31 @@ def latent_axes(texts: DataFrame, bench: list[np.ndarray], idf: np.ndarray, seed
     omega_seed, wide = seed, RANK + 8
     shared = spark.sparkContext.broadcast(idf.astype(np.float32))  # _SIZE values
 
-    def omega(idf):
-        return (np.random.default_rng(omega_seed).standard_normal((_SIZE, wide)).astype(np.float32)) * idf[:, None]
-
-    def step(h, starts, table, idf, total):
-        y, f = _rows(h, starts, idf, table)
-        at = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        norm = np.maximum(np.bincount(at, idf[f] ** 2, minlength=len(y)), 1e-9)  # squared length of the passage's vector
-        y /= norm[:, None]
+    rng = np.random.default_rng(omega_seed)
+    spots = rng.integers(0, wide, (_SIZE, _SPOTS)).astype(np.int16)  # a sparse sign embedding: a word adds to few columns
+    signs = rng.choice(np.array([-1, 1], np.int8), (_SIZE, _SPOTS))
+
+    def step(h, starts, idf, total):
+        f, n = _feature(h), len(starts) - 1
+        at = np.repeat(np.arange(n), np.diff(starts))
+        w = idf[f]
+        y = np.zeros(n * wide)
+        for k in range(_SPOTS):
+            y += np.bincount(at * wide + spots[f, k], w * signs[f, k], minlength=n * wide)
+        norm = np.maximum(np.bincount(at, w * w, minlength=n), 1e-9)  # squared length of the passage's vector
+        y = (y.reshape(n, wide) / norm[:, None]).astype(np.float32)
         o = np.argsort(f.astype(np.uint16), kind="stable")  # by radix
         fs = f[o]
         begin = np.flatnonzero(np.r_[True, fs[1:] != fs[:-1]])
         total[fs[begin]] += np.add.reduceat(y[at[o]], begin, axis=0) * idf[fs[begin]][:, None]
-        return len(y)
 
     def run(batches):
         idf = shared.value
-        table, total = omega(idf), np.zeros((_SIZE, wide), np.float32)
+        total = np.zeros((_SIZE, wide), np.float32)
         for b in batches:
             for _, _, h, first in word_hashes(b["text"], punctuation=False, chunk=1 << 20):
                 if len(h):
-                    step(h, _blocks(first, 2 * BLOCK)[0], table, idf, total)
+                    step(h, _blocks(first, 2 * BLOCK)[0], idf, total)
         yield _pieces(total)
 
     parts = texts.mapInArrow(run, "part int, data binary")
@@ -131,13 +137,41 @@ def latent_axes(texts: DataFrame, bench: list[np.ndarray], idf: np.ndarray, seed
     own = np.zeros((_SIZE, wide), np.float32)
     h = np.concatenate(bench)
     starts = np.r_[0, np.cumsum([len(x) for x in bench])]
-    step(h, starts, omega(idf.astype(np.float32)), idf.astype(np.float32), own)
+    step(h, starts, idf.astype(np.float32), own)
     scale = np.linalg.norm(corpus) / max(np.linalg.norm(own), 1e-12)
     q, r = np.linalg.qr(corpus + scale * own)
     u, _, _ = np.linalg.svd(r)
     return ((q @ u[:, :RANK]) * idf[:, None]).astype(np.float32)
 
 
+def _answers(answer: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All answer words, sorted; the items of each, and where these begin; of each item, how many different words of its answer make up ``share`` of it."""
+    item = np.repeat(np.arange(len(answer)), [len(a) for a in answer])
+    word = np.concatenate(answer)
+    enough = np.empty(len(answer), np.int64)
+    for k, a in enumerate(answer):
+        times = np.sort(np.unique(a, return_counts=True)[1])[::-1].cumsum()
+        enough[k] = 1 + np.searchsorted(times, share * len(a) - 1e-9)
+    o = np.lexsort((item, word))
+    word, item = word[o], item[o]
+    new = np.r_[True, (word[1:] != word[:-1]) | (item[1:] != item[:-1])]
+    word, item = word[new], item[new]
+    rare, begin = np.unique(word, return_index=True)
+    return rare, item, np.r_[begin, len(word)], enough
+
+
+def _likely(h: np.ndarray, starts: np.ndarray, rare: np.ndarray, owners: np.ndarray, begin: np.ndarray, enough: np.ndarray) -> np.ndarray:
+    """Sorted keys block * items + item where enough answer words lie from two blocks before to three after: elsewhere the answer's check can't hold."""
+    at = np.minimum(np.searchsorted(rare, h), len(rare) - 1)
+    where = np.flatnonzero(rare[at] == h)
+    n = begin[at[where] + 1] - begin[at[where]]
+    item = owners[np.repeat(begin[at[where]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    block = np.repeat(np.searchsorted(starts, where, side="right") - 1, n)
+    key = ((block[:, None] + np.arange(-3, 3)) * len(enough) + item[:, None]).ravel()
+    key, count = np.unique(key, return_counts=True)
+    return key[(key >= 0) & (count >= enough[key % len(enough)])]
+
+
 def lcs(item: np.ndarray, words: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel (Hyyro 2004)."""
     masks: dict[int, int] = {}
@@ -196,6 +230,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, min_cosine: float = 0.35, min_
         def run(batches, shared=shared):
             ids, words, answer, axes, z = shared.value
             sets = [np.unique(h) for h in words]
+            rare, owners, first_owner, enough = _answers(answer, min_answer)
             arrow_i, need = None, np.array([min_lcs * len(h) for h in words])
             for b in batches:
                 best: dict[tuple[int, int], tuple] = {}
@@ -206,11 +241,19 @@ def find_leaks(docs: DataFrame, bench: DataFrame, min_cosine: float = 0.35, min_
                     one, _ = _rows(h, starts, None, axes)
                     two = one.copy()
                     two[:-1][text[1:] == text[:-1]] += one[1:][text[1:] == text[:-1]]
+                    likely = _likely(h, starts, rare, owners, first_owner, enough)
                     seen = {}
-                    for v in (one, two):
-                        cos = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)) @ z.T
-                        for p, k in zip(*(x.tolist() for x in np.nonzero(cos >= min_cosine))):
-                            seen[p, k] = max(seen.get((p, k), -1.0), float(cos[p, k]))
+                    slab = max(64, _AT_ONCE // len(ids))
+                    for lo in range(0, len(one), slab):
+                        cos = None
+                        for v in (one[lo : lo + slab], two[lo : lo + slab]):
+                            c = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)) @ z.T
+                            cos = c if cos is None else np.maximum(cos, c)
+                        near = np.flatnonzero(cos >= min_cosine)
+                        key = near + lo * len(ids)
+                        hit = likely[np.minimum(np.searchsorted(likely, key), len(likely) - 1)] == key if len(likely) else np.zeros(len(key), bool)
+                        for q, c in zip(key[hit].tolist(), cos.ravel()[near[hit]].tolist()):
+                            seen[divmod(q, len(ids))] = c
                     for (p, k), c in seen.items():
                         d = text[p]
                         s = max(first[d], starts[p] - 2 * BLOCK)
