@@ -14,7 +14,7 @@ the tree costs one aggregate and one join there. Only the first and last step se
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.shared import without, written
@@ -36,10 +36,10 @@ def host_of(url: Column) -> Column:
 
 
 def typed_path(url: Column, max_depth: int) -> Column:
-    """Segments of the path in lower case, typed; those beyond ``max_depth`` are one segment together."""
+    """Segments of the path in lower case, typed; those beyond ``max_depth`` are one segment together, joined by %2f."""
     path = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1))
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    parts = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth - 1), F.array(F.array_join(F.slice(parts, F.lit(max_depth), F.size(parts)), "/")))).otherwise(parts)
+    parts = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth - 1), F.array(F.array_join(F.slice(parts, F.lit(max_depth), F.size(parts)), "%2f")))).otherwise(parts)
 
     def kind(s: Column) -> Column:
         out = s
@@ -56,37 +56,45 @@ def _branch(d: int) -> dict[str, Column]:
     return {"parent": F.array_join(F.slice("segs", 1, d), "/"), "child": F.get("segs", F.lit(d)), "below": F.array_join(below, "/")}
 
 
-def _replaced(paths: DataFrame, d: int, wild: DataFrame) -> DataFrame:
-    """``paths`` with segment ``d`` a wildcard where (host, parent, child) is in ``wild``."""
+def _replaced(paths: DataFrame, d: int, new: DataFrame) -> DataFrame:
+    """``paths`` with segment ``d`` named anew where (host, parent, child) is in ``new``."""
     at = paths.withColumns({k: v for k, v in _branch(d).items() if k != "below"})
-    hit = at.join(wild.select("host", "parent", "child", F.lit(True).alias("hit")), ["host", "parent", "child"], "left")
-    new = F.when(F.col("hit"), F.concat(F.slice("segs", 1, d), F.array(F.lit(WILD)), F.slice("segs", d + 2, F.greatest(F.size("segs") - d - 1, F.lit(0))))).otherwise(F.col("segs"))
-    return written(hit.select("host", "typed", new.alias("segs"), "n", "labelled", "bad"), "paths")
+    hit = at.join(new.select("host", "parent", "child", "to"), ["host", "parent", "child"], "left")
+    segs = F.when(F.col("to").isNotNull(), F.concat(F.slice("segs", 1, d), F.array("to"), F.slice("segs", d + 2, F.greatest(F.size("segs") - d - 1, F.lit(0))))).otherwise(F.col("segs"))
+    return written(hit.select("host", "typed", segs.alias("segs"), "n", "labelled", "bad"), "paths")
 
 
 def _rare_children(paths: DataFrame, d: int, max_children: int, min_share: float) -> DataFrame:
     children = paths.filter(F.size("segs") > d).withColumns(_branch(d)).groupBy("host", "parent", "child").agg(F.sum("n").alias("n"))
     parents = children.groupBy("host", "parent").agg(F.count("*").alias("many"), F.sum("n").alias("all")).filter(F.col("many") > max_children)
-    return children.filter(~F.col("child").startswith("{")).join(parents, ["host", "parent"]).filter(F.col("n") < F.col("all") * min_share)
+    return children.filter(~F.col("child").startswith("{")).join(parents, ["host", "parent"]).filter(F.col("n") < F.col("all") * min_share).withColumn("to", F.lit(WILD))
 
 
 def _alike_children(paths: DataFrame, d: int, z: float, max_distance: float) -> DataFrame:
-    """Children that don't differ from their siblings together: in the rate of bad labels by ``z`` standard errors, in the distribution of what lies below by ``max_distance`` in total variation."""
+    """Siblings to be merged, and the wildcard they become. In order of their rates of bad labels, neighbours are alike whose rates differ by
+    at most ``z`` standard errors, and below both of which the same template has a share of 1 - ``max_distance``: their distributions are then no
+    farther apart than that in total variation."""
     leaves = paths.filter(F.size("segs") > d).withColumns(_branch(d)).filter(~F.col("child").startswith("{"))
     sub = leaves.groupBy("host", "parent", "child", "below").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-    children = sub.groupBy("host", "parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
-    parents = children.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"), F.count("*").alias("many")).filter("many > 1")
-    children = children.join(parents, ["host", "parent"])
-    shape = sub.groupBy("host", "parent", "below").agg(F.sum("n").alias("bn"))
-    # half the summed difference of the shares; what a child lacks adds what its own shares leave of the siblings'
-    near = sub.select("host", "parent", "child", "below", F.col("n").alias("sn")).join(shape, ["host", "parent", "below"]).join(children, ["host", "parent", "child"])
-    common = near.groupBy("host", "parent", "child").agg(F.sum(F.least(F.col("sn") / F.col("n"), F.col("bn") / F.col("pn"))).alias("common"))
-    rate = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
-    gap = F.abs(F.col("bad") - F.col("labelled") * rate)
-    error = F.sqrt(F.col("labelled") * rate * (1 - rate) + 0.25)
-    alike = children.join(common, ["host", "parent", "child"]).filter((gap <= z * error) & (1 - F.col("common") <= max_distance))
-    enough = alike.groupBy("host", "parent").agg(F.count("*").alias("alike")).filter("alike > 1").select("host", "parent")
-    return alike.join(enough, ["host", "parent"]).select("host", "parent", "child")
+    children = sub.groupBy("host", "parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.max(F.struct("n", "below")).alias("most"))
+    parents = children.groupBy("host", "parent").agg(F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"), F.count("*").alias("many"), F.max((F.col("child") == WILD).cast("int")).alias("wild")).filter("many > 1")
+    prior = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
+    children = children.filter(F.col("most.n") >= F.col("n") * (1 - max_distance)).join(parents, ["host", "parent"])
+    children = children.withColumns({"shape": F.col("most.below"), "rate": (F.col("bad") + prior) / (F.col("labelled") + 1)})
+    kin = Window.partitionBy("host", "parent", "shape")
+    order = kin.orderBy("rate", "child")
+    n0, b0 = F.lag("labelled").over(order), F.lag("bad").over(order)
+    pool = (F.col("bad") + b0) / F.greatest(F.col("labelled") + n0, F.lit(1))
+    error = F.sqrt((pool * (1 - pool) + 0.01) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(n0, F.lit(1))))
+    gap = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - b0 / F.greatest(n0, F.lit(1)))
+    far = (F.col("labelled") > 0) & (n0 > 0) & (gap > z * error)
+    children = children.withColumn("cut", F.coalesce(far.cast("int"), F.lit(0))).withColumn("part", F.sum("cut").over(order))
+    members = children.withColumn("size", F.count("*").over(Window.partitionBy("host", "parent", "shape", "part"))).filter("size > 1")
+    place = F.dense_rank().over(Window.partitionBy("host", "parent").orderBy("shape", "part"))
+    members = members.withColumn("has", F.max((F.col("child") == WILD).cast("int")).over(Window.partitionBy("host", "parent", "shape", "part")))
+    number = place + F.when((F.col("wild") == 1) & (F.col("has") == 0), 1).otherwise(0)  # another branch may be the wildcard already
+    to = F.when((F.col("has") == 1) | (number == 1), F.lit(WILD)).otherwise(F.concat(F.lit(WILD), number.cast("string")))
+    return members.select("host", "parent", "child", to.alias("to"))
 
 
 def path_templates(pages: DataFrame, labels: DataFrame, max_children: int = 32, min_share: float = 0.02, z: float = 2.58, max_distance: float = 0.5, strength: float = 10.0, min_purity: float = 0.5, max_depth: int = 16, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -94,7 +102,8 @@ def path_templates(pages: DataFrame, labels: DataFrame, max_children: int = 32,
 
     ``labels``: (``label_id``, ``label_col``) with 1 for good and 0 for bad pages; a page with both is bad. ``purity`` is
     (good + strength * host's purity) / (labelled + strength), the host's smoothed likewise towards that of all pages. ``rejected``:
-    purity under ``min_purity``. A template is the host and its path's segments: literal, typed such as {num}, or ``*``.
+    purity under ``min_purity``. A template is the host and its path's segments: literal, typed such as {num}, or a
+    wildcard: ``*``, and ``*2`` and so on where a parent has more than one group of merged branches.
 
     Null urls and those without a host have null results and aren't rejected. Null labels or label ids count for nothing; pages with
     a null id are unlabelled. Repeated pages count each. A path without segments is the template "host/". Without any
