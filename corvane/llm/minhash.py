@@ -10,8 +10,8 @@ branch. Small nodes are compared exhaustively; larger ones branch on. Independen
 trees are repeated until a pair at the threshold is met with the target recall.
 
 A document can work out its own path, so a level costs one count of node sizes
-over (node, document) pairs of 16 bytes; sketches travel only to the nodes that
-are compared.
+over (node, document) pairs of 16 bytes. To the nodes that are compared go only sketches
+cut to a byte a value (Li and Koenig 2010), 128 bytes a document.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +28,7 @@ from corvane.llm.shared import small_batches, written
 from corvane.llm.words import combine, mix, word_hashes
 
 WIDTH = 128
+_ALL_PAIRS, _ROWS_HELD = 24, 1 << 15
 _EMPTY = np.uint64(0x5DEECE66D)
 
 
@@ -75,6 +75,46 @@ def _stack(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, WIDTH)
 
 
+def _agreements(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    """In how many of the WIDTH bytes each column agrees with ``sig``; a byte holds the sum."""
+    return np.add.reduce((sigs == sig[:, None]).view(np.uint8), axis=0, dtype=np.uint8)
+
+
+def _alike(ids: np.ndarray, sig: np.ndarray, bounds: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within the runs of rows between ``bounds``, ids rising in each: all alike pairs of a small run; of a large one those that connect it the same."""
+    size = np.diff(bounds)
+    small = np.flatnonzero((size > 1) & (size <= _ALL_PAIRS))
+    left, right = [], []
+    for n in np.unique(size[small]):  # all pairs of all runs of one size at once
+        i, j = np.triu_indices(n, 1)
+        first = bounds[small[size[small] == n]]
+        left.append((first[:, None] + i).ravel())
+        right.append((first[:, None] + j).ravel())
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    same = np.concatenate([np.add.reduce((sig[i[s : s + 8192]] == sig[j[s : s + 8192]]).T.copy().view(np.uint8), axis=0, dtype=np.uint8) for s in range(0, len(i), 8192)]) if len(i) else np.zeros(0, np.uint8)
+    hit = (same >= need) & (ids[i] != ids[j])
+    a, b = [ids[i[hit]]], [ids[j[hit]]]
+    for r in np.flatnonzero(size > _ALL_PAIRS):
+        own, table = ids[bounds[r] : bounds[r + 1]], np.ascontiguousarray(sig[bounds[r] : bounds[r + 1]].T)
+        group = np.arange(len(own))
+        for i in range(len(own) - 1):  # a pair already connected needs no comparison
+            apart = group[i + 1 :] != group[i]
+            n = np.count_nonzero(apart)
+            if not n:
+                continue
+            if 4 * n < len(apart):
+                todo = np.flatnonzero(apart) + i + 1
+                hit = todo[_agreements(table[:, todo], table[:, i]) >= need]
+            else:
+                hit = np.flatnonzero((_agreements(table[:, i + 1 :], table[:, i]) >= need) & apart) + i + 1
+            if len(hit):
+                met, at = np.unique(group[hit], return_index=True)  # one edge to each group met
+                a.append(np.full(len(at), own[i]))
+                b.append(own[hit[at]])
+                group[np.isin(group, met)] = group[i]
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+
+
 def _branches(node: np.ndarray, sig: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, child node) of every branch: the positions are chosen by the node alone."""
     with np.errstate(over="ignore"):
@@ -92,19 +132,20 @@ def trees_for(recall: float, threshold: float, rate: float, depth: int = 2) -> i
 
 
 def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, rate: float, small: int, max_depth: int) -> DataFrame:
-    """(a, b) of sketched rows (id, sig): pairs of similarity at least ``threshold`` by the sketches that, with those they imply, connect what the trees brought together."""
+    """(a, b) of sketched rows (id, sig, low: a byte of each value): pairs of similarity at least ``threshold`` by the sketches that, with those they imply, connect what the trees brought together."""
     spark = sketched.sparkSession
     trees = trees_for(recall, threshold, rate)
     chance = rate / WIDTH
     roots = _seeds(trees, 77)
 
-    def first(batches):
+    def first(batches):  # two levels at once: with one alone, nodes of common shingles grow with the corpus
         for b in batches:
             sig = _stack(b["sig"].to_pylist())
             ids = b["id"].to_numpy()
             for r in roots:
                 row, child = _branches(np.full(len(b), r), sig, chance)
-                yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(ids[row])], names=["node", "id"])
+                deep, child = _branches(child, sig[row], chance)
+                yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(ids[row[deep]])], names=["node", "id"])
 
     def deeper(batches):
         for b in batches:
@@ -134,29 +175,40 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
     single = blocks.filter("nb = 1").select("node", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("bl"))
     many = blocks.filter("nb > 1").withColumn("bl", F.floor(w / F.lit(small)).cast("int"))
     many = many.select("node", "id", "bl", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("node", F.least("bl", "o").alias("x"), F.greatest("bl", "o").alias("y"), "id", "bl").distinct()
-    pairs = single.unionByName(many).join(sketched, "id")
-
-    def compare(pdf):
-        ids = pdf["id"].to_numpy()
-        if len(ids) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        sig = _stack(pdf["sig"])
-        o = np.argsort(ids, kind="stable")
-        ids, sig = ids[o], sig[o]
-        need = math.ceil(threshold * WIDTH)
-        group, out = np.arange(len(ids)), []
-        for i in range(len(ids) - 1):  # a pair already connected needs no comparison
-            todo = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-            if not len(todo):
-                continue
-            hit = todo[(sig[todo] == sig[i]).sum(1) >= need]
-            for k in hit:
-                if group[k] != group[i]:
-                    out.append((ids[i], ids[k]))
-                    group[group == group[k]] = group[i]
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+    pairs = single.unionByName(many).join(sketched.select("id", "low"), "id")
+
+    need = math.ceil((threshold + (1 - threshold) / 256) * WIDTH)  # unequal values agree in a byte by chance
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def edges(last: bool):
+            """Pairs of the nodes that are whole, and the rows of the last one, which may go on."""
+            table = pa.Table.from_batches(held)
+            keys = [table[c].to_numpy() for c in ("node", "x", "y")]
+            begin = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            stop = table.num_rows if last else int(begin[-1])
+            begin = begin[begin < stop]
+            ids = table["id"].to_numpy()[:stop]
+            sig = np.frombuffer(b"".join(table["low"].slice(0, stop).to_pylist()), np.uint8).reshape(-1, WIDTH)
+            out = _alike(ids, sig, np.r_[begin, stop], need)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b"]), table.slice(stop).to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= _ROWS_HELD:
+                out, held = edges(False)
+                rest = sum(x.num_rows for x in held)
+                rows = 0 if rest < _ROWS_HELD else -rest  # a node larger than that is looked at again when it has doubled
+                yield out
+        if held:
+            yield edges(True)[0]
 
-    return pairs.groupBy("node", "x", "y").applyInPandas(compare, "a long, b long").distinct()
+    ordered = pairs.select("node", "x", "y", "id", "low").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y", "id")
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,7 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("group")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("group"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, recall: float = 0.95, rate: float = 3.0, small: int = 256, max_depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, recall: float = 0.95, rate: float = 3.0, small: int = 4096, max_depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``group_id`` and ``keep`` of every document that has a near duplicate.
 
     Similarity is the Jaccard coefficient of the sets of ``shingle``-word shingles, words folded in case and stripped of
@@ -200,12 +252,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, r
     def sketch(batches):
         for b in batches:
             for i, j, sig, whole in sketches(b["text"], shingle):
-                yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), pa.array(whole.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "whole", "sig"])
+                yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), pa.array(whole.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["id", "whole", "sig", "low"])
 
-    all_ = written(lean.mapInArrow(sketch, "id long, whole long, sig binary"), "sketches")
+    all_ = written(lean.mapInArrow(sketch, "id long, whole long, sig binary, low binary"), "sketches")
     heads = written(all_.groupBy("whole").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")), "copies")
     copies = all_.select("id", "whole").join(heads.filter("n > 1"), "whole").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    one = all_.join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "sig")
+    one = all_.join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "sig", "low")
     one = written(one, "heads")
     edges = near_duplicate_edges(one, threshold, recall, rate, small, max_depth)
     groups = components(copies.unionByName(edges))
