@@ -1,7 +1,7 @@
 """Perplexity by an interpolated modified Kneser-Ney trigram model (operator 4).
 
 Chen and Goodman (1999); counts and continuation counts of all n-grams of the whole
-corpus, none pruned. Map tasks sum up n-grams in blocks sorted by hash and
+corpus, none pruned. Map tasks sum up n-grams in blocks sorted by words and
 compressed; a bucket, a range of hashes of contexts, gets all n-grams of its contexts, so that
 counts, the contexts' totals and the next lower order's continuation counts come from
 three shuffles. Every bucket is written as sorted hash arrays, one file for each
@@ -19,6 +19,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import local_path, new_path, small_batches
+from corvane.llm.shared import forget, local_path, new_path, release_shuffles, small_batches, written
 from corvane.llm.words import combine, mix, word_hashes
 
 BUCKET = 1 << 20
@@ -233,8 +234,11 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def fit_language_model(docs: DataFrame, text_col: str = "text") -> LanguageModel:
-    """The model of all texts of ``docs``, its files in the shared folder. Null texts and texts without words have no n-grams; repeated rows count each."""
+def fit_language_model(docs: DataFrame, text_col: str = "text", passes: int = 2) -> LanguageModel:
+    """The model of all texts of ``docs``, its files in the shared folder. Null texts and texts without words have no n-grams; repeated rows count each.
+
+    ``passes``: trigrams are counted for one share of their contexts after another, which divides the disk that their shuffle takes.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
@@ -244,7 +248,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text") -> LanguageModel
     path = local_path(new_path(spark, "language-model"))
     os.makedirs(path)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush():
@@ -258,6 +262,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text") -> LanguageModel
             for _, _, h, first in word_hashes(b["text"], punctuation=False):
                 ids, _ = _padded(h, first)
                 at = _predicted(ids)
+                at = at[(_context(ids[at - 2], ids[at - 1]) >> shift) % np.uint64(passes) == turn]
                 held.append((ids[at - 2], ids[at - 1], ids[at]))
                 n += len(at)
                 if n >= _FLUSH:
@@ -295,9 +300,19 @@ def fit_language_model(docs: DataFrame, text_col: str = "text") -> LanguageModel
         return pd.DataFrame({"words": [len(n)]})
 
     blocks = "bucket int, data binary"
-    out = texts.mapInArrow(count, blocks)
-    out = out.groupBy("bucket").applyInArrow(trigrams, blocks).groupBy("bucket").applyInArrow(bigrams, blocks).groupBy("bucket").applyInPandas(unigrams, "words long")
+    parts = []
+    for turn in range(passes):
+        counted = texts.mapInArrow(lambda batches, turn=turn: count(batches, turn), blocks)
+        parts.append(written(counted.groupBy("bucket").applyInArrow(trigrams, blocks), "bigrams"))
+        del counted
+        release_shuffles(spark)
+    out = reduce(DataFrame.unionByName, parts)
+    out = out.groupBy("bucket").applyInArrow(bigrams, blocks).groupBy("bucket").applyInPandas(unigrams, "words long")
     vocabulary = out.agg(F.sum("words")).first()[0] or 0
+    for p in parts:
+        forget(spark, p)
+    del out, parts
+    release_shuffles(spark)
 
     def stats(batches):
         for b in batches:

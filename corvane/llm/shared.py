@@ -8,6 +8,7 @@ temporary one is made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
         delete(spark, f)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles removed that nothing can read again: Spark does so once the driver has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local_path(uri: str) -> str:
     """The POSIX path of a ``file:`` URI; memory-mapped files need a folder mounted on every machine."""
     if uri.startswith("file:"):
