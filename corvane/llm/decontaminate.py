@@ -28,7 +28,8 @@ from corvane.llm.shared import small_batches
 from corvane.llm.words import word_hashes
 
 BITS, BLOCK, RANK = 16, 24, 64
-_SPOTS = 4
+_SPOTS = 2
+_CACHED = 4096
 _AT_ONCE = 1 << 22
 _SIZE = 1 << BITS
 _PARTS = 16
@@ -91,12 +92,19 @@ def passage_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return df, int(got[-1][0]) if -1 in got else 0
 
 
-def _rows(h: np.ndarray, starts: np.ndarray, idf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of idf-weighted rows of ``table`` for the words of each block, and the features."""
-    f = _feature(h)
-    if not len(h):
-        return np.zeros((len(starts) - 1, table.shape[1]), np.float32), f
-    return np.add.reduceat(table[f], np.minimum(starts[:-1], len(h) - 1), axis=0), f
+def _rows(h: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``table`` for the words of each block; some blocks at a time, in a buffer that the cache holds."""
+    n, f = len(starts) - 1, _feature(h)
+    out = np.empty((n, table.shape[1]), np.float32)
+    longest = int(np.diff(starts).max(initial=1))
+    some = max(1, _CACHED // longest)
+    buffer = np.empty((some * longest, table.shape[1]), np.float32)
+    for i in range(0, n, some):
+        j = min(n, i + some)
+        s, e = starts[i], starts[j]
+        rows = np.take(table, f[s:e], axis=0, out=buffer[: e - s], mode="clip")
+        np.add.reduceat(rows, starts[i:j] - s, axis=0, out=out[i:j])
+    return out
 
 
 def latent_axes(texts: DataFrame, bench: list[np.ndarray], idf: np.ndarray, seed: int = 11) -> np.ndarray:
@@ -106,8 +114,8 @@ def latent_axes(texts: DataFrame, bench: list[np.ndarray], idf: np.ndarray, seed
     shared = spark.sparkContext.broadcast(idf.astype(np.float32))  # _SIZE values
 
     rng = np.random.default_rng(omega_seed)
-    spots = rng.integers(0, wide, (_SIZE, _SPOTS)).astype(np.int16)  # a sparse sign embedding: a word adds to few columns
-    signs = rng.choice(np.array([-1, 1], np.int8), (_SIZE, _SPOTS))
+    spots = rng.integers(0, wide, (_SPOTS, _SIZE))  # a sparse sign embedding: a word adds to few columns
+    signs = rng.choice(np.array([-1.0, 1.0], np.float32), (_SPOTS, _SIZE))
 
     def step(h, starts, idf, total):
         f, n = _feature(h), len(starts) - 1
@@ -115,13 +123,17 @@ def latent_axes(texts: DataFrame, bench: list[np.ndarray], idf: np.ndarray, seed
         w = idf[f]
         y = np.zeros(n * wide)
         for k in range(_SPOTS):
-            y += np.bincount(at * wide + spots[f, k], w * signs[f, k], minlength=n * wide)
+            y += np.bincount(at * wide + spots[k][f], (idf * signs[k])[f], minlength=n * wide)
         norm = np.maximum(np.bincount(at, w * w, minlength=n), 1e-9)  # squared length of the passage's vector
         y = (y.reshape(n, wide) / norm[:, None]).astype(np.float32)
         o = np.argsort(f.astype(np.uint16), kind="stable")  # by radix
-        fs = f[o]
-        begin = np.flatnonzero(np.r_[True, fs[1:] != fs[:-1]])
-        total[fs[begin]] += np.add.reduceat(y[at[o]], begin, axis=0) * idf[fs[begin]][:, None]
+        fs, ys = f[o], at[o]
+        buffer = np.empty((_CACHED, wide), np.float32)
+        for i in range(0, len(fs), _CACHED):
+            part = fs[i : i + _CACHED]
+            rows = np.take(y, ys[i : i + _CACHED], axis=0, out=buffer[: len(part)], mode="clip")
+            begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            total[part[begin]] += np.add.reduceat(rows, begin, axis=0) * idf[part[begin]][:, None]
 
     def run(batches):
         idf = shared.value
@@ -132,7 +144,8 @@ def latent_axes(texts: DataFrame, bench: list[np.ndarray], idf: np.ndarray, seed
                     step(h, _blocks(first, 2 * BLOCK)[0], idf, total)
         yield _pieces(total)
 
-    parts = texts.mapInArrow(run, "part int, data binary")
+    # each task sends one matrix of fixed size: few, long tasks
+    parts = texts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, "part int, data binary")
     corpus = _summed(parts, np.float32, wide)
     own = np.zeros((_SIZE, wide), np.float32)
     h = np.concatenate(bench)
@@ -238,7 +251,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, min_cosine: float = 0.35, min_
                     if not len(h):
                         continue
                     starts, text = _blocks(first, BLOCK)
-                    one, _ = _rows(h, starts, None, axes)
+                    one = _rows(h, starts, axes)
                     two = one.copy()
                     two[:-1][text[1:] == text[:-1]] += one[1:][text[1:] == text[:-1]]
                     likely = _likely(h, starts, rare, owners, first_owner, enough)
