@@ -14,6 +14,10 @@ the tree costs one aggregate and one join there. Only the first and last step se
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,25 +74,63 @@ def _rare_children(paths: DataFrame, d: int, max_children: int, min_share: float
     return children.filter(~F.col("child").startswith("{")).join(parents, ["host", "parent"]).filter(F.col("n") < F.col("all") * min_share).withColumn("to", F.lit(WILD))
 
 
+def differ(n: int, bad: int, m: int, worse: int, z: float) -> bool:
+    """Whether ``bad`` of ``n`` labels and ``worse`` of ``m`` differ beyond ``z`` standard errors: few expected ones by the hypergeometric tail, as rare as that."""
+    if not n or not m:
+        return False
+    total, hits = n + m, bad + worse
+    gap, pool = bad / n - worse / m, hits / total
+    if min(n, m) * pool * (1 - pool) > 5:
+        return abs(gap) > z * math.sqrt(pool * (1 - pool) * (1 / n + 1 / m))
+    if gap < 0:  # the same by the good ones
+        bad, hits = n - bad, total - hits
+    ways = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    tail = 0.0
+    for x in range(bad, min(n, hits) + 1):
+        term = math.exp(ways(n, x) + ways(m, hits - x) - ways(total, hits))
+        tail += term
+        if term < 1e-9 * tail:
+            break
+    return 2 * tail < math.erfc(z / math.sqrt(2))
+
+
+def _parts(z: float):
+    """Rows (host, parent, shape, child, labelled, bad), the best labelled of a shape first, with ``part``: the group of the nearest rate that
+    a child doesn't differ from, by all labels of the group, or one of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kin, groups = None, []
+        for b in batches:
+            part = []
+            for *key, n, bad in zip(*(b[c].to_pylist() for c in ("host", "parent", "shape", "labelled", "bad"))):
+                if key != kin:
+                    kin, groups = key, []
+                near = sorted(range(len(groups)), key=lambda g: abs(bad / n - groups[g][1] / groups[g][0]))
+                at = next((g for g in near if not differ(n, bad, *groups[g], z)), len(groups))
+                if at == len(groups):
+                    groups.append((0, 0))
+                groups[at] = (groups[at][0] + n, groups[at][1] + bad)
+                part.append(at)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("host", "parent", "shape", "child")), pa.array(part, pa.int32())], names=["host", "parent", "shape", "child", "part"])
+
+    return run
+
+
 def _alike_children(paths: DataFrame, d: int, z: float, max_distance: float) -> DataFrame:
-    """Siblings to be merged, and the wildcard they become. In order of their rates of bad labels, neighbours are alike whose rates differ by
-    at most ``z`` standard errors, and below both of which the same template has a share of 1 - ``max_distance``: their distributions are then no
-    farther apart than that in total variation."""
+    """Siblings to be merged, and the wildcard they become. Alike are those whose rates of bad labels don't differ by more than ``z`` standard
+    errors from that of their group, and below all of which the same template has a share of 1 - ``max_distance``: their distributions are then no
+    farther apart than that in total variation. Siblings without labels join the group of their shape where there is one, otherwise each other."""
     leaves = paths.filter(F.size("segs") > d).withColumns(_branch(d)).filter(~F.col("child").startswith("{"))
     sub = leaves.groupBy("host", "parent", "child", "below").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
     children = sub.groupBy("host", "parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")), F.max(F.struct("n", "below")).alias("most"))
-    parents = children.groupBy("host", "parent").agg(F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"), F.count("*").alias("many"), F.max((F.col("child") == WILD).cast("int")).alias("wild")).filter("many > 1")
-    prior = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
+    parents = children.groupBy("host", "parent").agg(F.count("*").alias("many"), F.max((F.col("child") == WILD).cast("int")).alias("wild")).filter("many > 1")
     children = children.filter(F.col("most.n") >= F.col("n") * (1 - max_distance)).join(parents, ["host", "parent"])
-    children = children.withColumns({"shape": F.col("most.below"), "rate": (F.col("bad") + prior) / (F.col("labelled") + 1)})
-    kin = Window.partitionBy("host", "parent", "shape")
-    order = kin.orderBy("rate", "child")
-    n0, b0 = F.lag("labelled").over(order), F.lag("bad").over(order)
-    pool = (F.col("bad") + b0) / F.greatest(F.col("labelled") + n0, F.lit(1))
-    error = F.sqrt((pool * (1 - pool) + 0.01) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(n0, F.lit(1))))
-    gap = F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - b0 / F.greatest(n0, F.lit(1)))
-    far = (F.col("labelled") > 0) & (n0 > 0) & (gap > z * error)
-    children = children.withColumn("cut", F.coalesce(far.cast("int"), F.lit(0))).withColumn("part", F.sum("cut").over(order))
+    children = written(children.select("host", "parent", F.col("most.below").alias("shape"), "child", "labelled", "bad", "wild"), "siblings")
+    kin = ["host", "parent", "shape"]
+    known = children.filter("labelled > 0").drop("wild").repartition(*kin).sortWithinPartitions(*kin, F.desc("labelled"), "child")
+    parts = known.mapInArrow(_parts(z), "host string, parent string, shape string, child string, part int")
+    last = F.coalesce(F.max("part").over(Window.partitionBy(*kin)), F.lit(0))
+    children = children.join(parts, [*kin, "child"], "left").withColumn("last", last).withColumn("part", F.coalesce("part", F.when(F.col("last") > 0, F.col("last") + 1).otherwise(0)))
     members = children.withColumn("size", F.count("*").over(Window.partitionBy("host", "parent", "shape", "part"))).filter("size > 1")
     place = F.dense_rank().over(Window.partitionBy("host", "parent").orderBy("shape", "part"))
     members = members.withColumn("has", F.max((F.col("child") == WILD).cast("int")).over(Window.partitionBy("host", "parent", "shape", "part")))

@@ -234,6 +234,38 @@ def test_templates(spark):
     assert {r["purity"] for r in urls.path_templates(pages, labels.filter("doc_id < -1")).collect()} == {None, 1.0}
 
 
+def templates_of(spark, sections):
+    """(template, rejected) of each section of (pages of one number each, labels, bad ones)."""
+    rows, marks = [], []
+    for name, (n, labelled, bad) in sections.items():
+        for i in range(n):
+            if i < labelled:
+                marks.append((len(rows), int(i >= bad)))
+            rows.append((len(rows), f"http://h.example/{name}/{i}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    out = urls.path_templates(pages, spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    by = {r["page_id"]: (r["template"], r["rejected"]) for r in out}
+    return {u.split("/")[3]: by[i] for i, u in rows}
+
+
+def test_unlabelled_sibling_does_not_join_others(spark):
+    got = templates_of(spark, {"news": (20, 20, 0), "misc": (20, 0, 0), "spam": (20, 20, 20)})
+    assert got == {k: (f"h.example/{k}/{{num}}", k == "spam") for k in got}
+    alone = templates_of(spark, {"news": (20, 20, 0), "misc": (20, 0, 0)})
+    assert set(alone.values()) == {("h.example/*/{num}", False)}
+
+
+def test_chain_of_rates(spark):
+    got = templates_of(spark, {f"s{i:02}": (50, 50, 5 * i) for i in range(11)})
+    assert got["s10"][1] and got["s09"][1] and not got["s00"][1] and not got["s01"][1]
+    assert len({t for t, _ in got.values()}) > 2
+
+
+def test_weak_labels_do_not_split(spark):
+    got = templates_of(spark, {f"u{i:02}": (2, 1, int(i % 10 == 9)) for i in range(30)})
+    assert set(got.values()) == {("h.example/*/{num}", False)}
+
+
 # mixing
 
 
