@@ -2,7 +2,7 @@
 
 Each host's paths form a tree of segments. Segments that are numbers, hashes or
 dates are typed at once. From the root down, the rare values of a segment that takes many
-values become a wildcard. From the leaves up, sibling branches that are
+values become a wildcard, but for those whose labels differ from the others'. From the leaves up, sibling branches that are
 statistically alike, in their labels and in what lies below them, are merged. Every
 template that is left gets a purity: the share of good pages among its labelled
 ones, smoothed towards its host and the host towards all. Pages of impure
@@ -68,10 +68,19 @@ def _replaced(paths: DataFrame, d: int, new: DataFrame) -> DataFrame:
     return written(hit.select("host", "typed", segs.alias("segs"), "n", "labelled", "bad"), "paths")
 
 
-def _rare_children(paths: DataFrame, d: int, max_children: int, min_share: float) -> DataFrame:
-    children = paths.filter(F.size("segs") > d).withColumns(_branch(d)).groupBy("host", "parent", "child").agg(F.sum("n").alias("n"))
-    parents = children.groupBy("host", "parent").agg(F.count("*").alias("many"), F.sum("n").alias("all")).filter(F.col("many") > max_children)
-    return children.filter(~F.col("child").startswith("{")).join(parents, ["host", "parent"]).filter(F.col("n") < F.col("all") * min_share).withColumn("to", F.lit(WILD))
+def _rare_children(paths: DataFrame, d: int, max_children: int, min_share: float, z: float) -> DataFrame:
+    """Rare children of parents of many, and the wildcard they become; those stay whose rate of bad labels differs from that of the rest of the parent."""
+    children = paths.filter(F.size("segs") > d).withColumns(_branch(d)).groupBy("host", "parent", "child").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad")))
+    parents = children.groupBy("host", "parent").agg(F.count("*").alias("many"), F.sum("n").alias("all"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb")).filter(F.col("many") > max_children)
+    rare = children.filter(~F.col("child").startswith("{")).join(parents, ["host", "parent"]).filter(F.col("n") < F.col("all") * min_share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [not differ(n, bad, pl - n, pb - bad, z) for n, bad, pl, pb in zip(*(b[c].to_pylist() for c in ("labelled", "bad", "pl", "pb")))]
+            yield b.select(["host", "parent", "child"]).filter(pa.array(keep, pa.bool_()))
+
+    alike = rare.select("host", "parent", "child", "labelled", "bad", "pl", "pb").mapInArrow(run, "host string, parent string, child string")
+    return alike.withColumn("to", F.lit(WILD))
 
 
 def differ(n: int, bad: int, m: int, worse: int, z: float) -> bool:
@@ -160,7 +169,7 @@ def path_templates(pages: DataFrame, labels: DataFrame, max_children: int = 32,
     paths = written(counts.select("host", "typed", segs.alias("segs"), "n", "labelled", "bad"), "paths")
     depth = paths.agg(F.max(F.size("segs"))).first()[0] or 0
     for d in range(depth):
-        paths = _replaced(paths, d, _rare_children(paths, d, max_children, min_share))
+        paths = _replaced(paths, d, _rare_children(paths, d, max_children, min_share, z))
     for d in reversed(range(depth)):
         paths = _replaced(paths, d, _alike_children(paths, d, z, max_distance))
     paths = paths.withColumn("template", F.concat_ws("/", "host", F.array_join("segs", "/")))

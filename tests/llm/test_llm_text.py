@@ -266,6 +266,12 @@ def test_weak_labels_do_not_split(spark):
     assert set(got.values()) == {("h.example/*/{num}", False)}
 
 
+def test_rare_bad_section_is_judged_alone(spark):
+    got = templates_of(spark, {f"s{i:02}": (30, 30 if i % 2 else 0, 30 if i == 17 else 0) for i in range(60)})
+    assert got["s17"] == ("h.example/s17/{num}", True)
+    assert {v for k, v in got.items() if k != "s17"} == {("h.example/*/{num}", False)}
+
+
 # mixing
 
 
