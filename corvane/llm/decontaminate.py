@@ -7,7 +7,7 @@ passage. Three scans of the corpus:
 2. one step of a randomised SVD: Omega' A'A is summed over all passages, with the
    benchmark's own passages weighted to count as much as the corpus, and
    orthonormalised into the latent axes;
-3. every passage is projected and compared to every item by cosine. Candidates
+3. every passage is projected and compared to every item by cosine, a long item passage by passage. Candidates
    are checked in place, where their words are at hand: the longest common
    subsequence with the item, then its rarest words (its answer).
 
@@ -173,16 +173,31 @@ def _answers(answer: list[np.ndarray], share: float) -> tuple[np.ndarray, np.nda
     return rare, item, np.r_[begin, len(word)], enough
 
 
-def _likely(h: np.ndarray, starts: np.ndarray, rare: np.ndarray, owners: np.ndarray, begin: np.ndarray, enough: np.ndarray) -> np.ndarray:
-    """Sorted keys block * items + item where enough answer words lie from two blocks before to three after: elsewhere the answer's check can't hold."""
+def _reach(words: int) -> int:
+    """Blocks looked at on either side of a passage for an item of so many words: all of the item, wherever in it the passage lies."""
+    return max(2, -(-words // BLOCK))
+
+
+def _pieces_of(h: np.ndarray) -> list[np.ndarray]:
+    """An item as passages: a long one is far from each passage of its copy."""
+    return [h] if len(h) <= 4 * BLOCK else np.array_split(h, -(-len(h) // (2 * BLOCK)))
+
+
+def _likely(h: np.ndarray, starts: np.ndarray, rare: np.ndarray, owners: np.ndarray, begin: np.ndarray, enough: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Sorted keys block * items + item where enough answer words lie within the item's reach of the passage that begins there: elsewhere the answer's check can't hold."""
     at = np.minimum(np.searchsorted(rare, h), len(rare) - 1)
     where = np.flatnonzero(rare[at] == h)
     n = begin[at[where] + 1] - begin[at[where]]
     item = owners[np.repeat(begin[at[where]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     block = np.repeat(np.searchsorted(starts, where, side="right") - 1, n)
-    key = ((block[:, None] + np.arange(-3, 3)) * len(enough) + item[:, None]).ravel()
-    key, count = np.unique(key, return_counts=True)
-    return key[(key >= 0) & (count >= enough[key % len(enough)])]
+    wide = len(starts)  # a word counts for the blocks from lo to before hi
+    lo, hi = np.maximum(block - reach[item] - 1, 0), np.minimum(block + reach[item] + 1, wide - 1)
+    spot, place = np.unique(np.r_[item * wide + lo, item * wide + hi], return_inverse=True)
+    count = np.cumsum(np.bincount(place, np.repeat([1, -1], len(item)), minlength=len(spot))).astype(np.int64)
+    good = np.flatnonzero(count >= enough[spot // wide])
+    size = spot[good + 1] - spot[good]
+    key = np.repeat(spot[good], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.sort(key % wide * len(enough) + key // wide)
 
 
 def lcs(item: np.ndarray, words: np.ndarray) -> int:
@@ -215,8 +230,8 @@ def _items(bench: DataFrame, item_col: str, text_col: str, chunk: int) -> Iterat
 def find_leaks(docs: DataFrame, bench: DataFrame, min_cosine: float = 0.35, min_lcs: float = 0.6, min_answer: float = 0.5, items_at_once: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(``id_col``, ``item_col``, ``cosine``, ``overlap``, ``start``) of documents that hold a benchmark passage, also paraphrased.
 
-    ``overlap``: share of the item's words in the longest common subsequence with the passage and ``2 * BLOCK`` words on
-    either side, at least ``min_lcs``; ``start``: first word of the passage. Of the quarter of the item's words that are
+    ``overlap``: share of the item's words in the longest common subsequence with the passage and as many words as the item
+    has, ``2 * BLOCK`` at least, on either side, at least ``min_lcs``; ``start``: first word of the passage. Of the quarter of the item's words that are
     rarest in the corpus, its answer, ``min_answer`` must occur there. One row, the best, for a document and item.
 
     Items of fewer than five words match too easily and are not searched, null items neither. Null and empty texts hold
@@ -234,16 +249,20 @@ def find_leaks(docs: DataFrame, bench: DataFrame, min_cosine: float = 0.35, min_
         if freq is None:
             freq = passage_frequencies(texts)
         idf = np.log((freq[1] + 1) / (freq[0] + 1)) + 0.05
-        axes = latent_axes(texts, words, idf)
-        z = np.stack([axes[_feature(h)].sum(0) for h in words])
+        pieces = [_pieces_of(h) for h in words]
+        first_piece = np.r_[0, np.cumsum([len(x) for x in pieces])[:-1]]
+        pieces = [x for own in pieces for x in own]
+        axes = latent_axes(texts, pieces, idf)
+        z = np.stack([axes[_feature(h)].sum(0) for h in pieces])
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         answer = [h[np.argsort(-idf[_feature(h)], kind="stable")[: -(-len(h) // 4)]] for h in words]
-        shared = spark.sparkContext.broadcast((ids, words, answer, axes, z.astype(np.float32)))
+        shared = spark.sparkContext.broadcast((ids, words, answer, axes, z.astype(np.float32), first_piece))
 
         def run(batches, shared=shared):
-            ids, words, answer, axes, z = shared.value
+            ids, words, answer, axes, z, first_piece = shared.value
             sets = [np.unique(h) for h in words]
             rare, owners, first_owner, enough = _answers(answer, min_answer)
+            reach = np.array([_reach(len(h)) for h in words])
             arrow_i, need = None, np.array([min_lcs * len(h) for h in words])
             for b in batches:
                 best: dict[tuple[int, int], tuple] = {}
@@ -254,14 +273,16 @@ def find_leaks(docs: DataFrame, bench: DataFrame, min_cosine: float = 0.35, min_
                     one = _rows(h, starts, axes)
                     two = one.copy()
                     two[:-1][text[1:] == text[:-1]] += one[1:][text[1:] == text[:-1]]
-                    likely = _likely(h, starts, rare, owners, first_owner, enough)
+                    likely = _likely(h, starts, rare, owners, first_owner, enough, reach)
                     seen = {}
-                    slab = max(64, _AT_ONCE // len(ids))
+                    slab = max(64, _AT_ONCE // len(z))
                     for lo in range(0, len(one), slab):
                         cos = None
                         for v in (one[lo : lo + slab], two[lo : lo + slab]):
                             c = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)) @ z.T
                             cos = c if cos is None else np.maximum(cos, c)
+                        if len(z) > len(ids):  # an item is as near as its nearest passage
+                            cos = np.maximum.reduceat(cos, first_piece, axis=1)
                         near = np.flatnonzero(cos >= min_cosine)
                         key = near + lo * len(ids)
                         hit = likely[np.minimum(np.searchsorted(likely, key), len(likely) - 1)] == key if len(likely) else np.zeros(len(key), bool)
@@ -269,8 +290,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, min_cosine: float = 0.35, min_
                             seen[divmod(q, len(ids))] = c
                     for (p, k), c in seen.items():
                         d = text[p]
-                        s = max(first[d], starts[p] - 2 * BLOCK)
-                        e = min(first[d + 1], starts[p] + 4 * BLOCK)
+                        s = max(first[d], starts[p] - reach[k] * BLOCK)
+                        e = min(first[d + 1], starts[p] + (reach[k] + 2) * BLOCK)
                         span = h[s:e]
                         near = sets[k]
                         hit = near[np.minimum(np.searchsorted(near, span), len(near) - 1)] == span

@@ -194,6 +194,20 @@ def test_leaks(spark, docs, awkward, empty):
     assert decontaminate.find_leaks(docs(rows), bench.filter("item_id < 0")).count() == 0
 
 
+def test_leaks_of_long_items(spark, docs):
+    rng = np.random.default_rng(12)
+    words = [f"d{i}" for i in range(3000)]
+    say = lambda n: rng.choice(words, n).tolist()
+    items = [say(n) for n in (200, 300, 600, 1500)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = [(i, " ".join(say(400)), "s") for i in range(40)]
+    for i, x in enumerate(items):
+        near = [w if rng.random() > 0.25 else str(rng.choice(words)) for w in x]
+        rows += [(100 + i, " ".join(say(70) + x + say(30)), "s"), (200 + i, " ".join(say(10) + near + say(200)), "s")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(rows), bench).collect()}
+    assert got == {(k + i, i) for i in range(4) for k in (100, 200)}
+
+
 def test_lcs():
     rng = np.random.default_rng(0)
     for _ in range(100):
