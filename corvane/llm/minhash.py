@@ -11,7 +11,8 @@ trees are repeated until a pair at the threshold is met with the target recall.
 
 A document can work out its own path, so a level costs one count of node sizes
 over (node, document) pairs of 16 bytes. To the nodes that are compared go only sketches
-cut to a byte a value (Li and Koenig 2010), 128 bytes a document.
+cut to a byte a value (Li and Koenig 2010), 128 bytes a document. Pairs that these
+leave in doubt are confirmed by the exact Jaccard coefficient.
 """
 
 from __future__ import annotations
@@ -36,25 +37,34 @@ def _seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt) * np.uint64(0x1000003D))
 
 
+def _wholes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hash of each text's words."""
+    n = np.diff(first)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(int(n.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
+        place = np.arange(len(h)) - np.repeat(first[:-1], n)
+        total = np.r_[np.uint64(0), np.cumsum(mix(h ^ up[place]), dtype=np.uint64)]
+        return mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
+
+
+def _shingles(h: np.ndarray, first: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, and how many each text has."""
+    sh = h
+    for k in range(1, shingle):
+        sh = combine(sh[:-1], h[k:]) if len(sh) > 1 else sh[:0]
+    ok = np.ones(len(sh), bool)  # shingles within one text
+    for b in first[1:-1]:
+        ok[max(0, b - shingle + 1) : b] = False
+    return sh[ok], np.maximum(np.diff(first) - shingle + 1, 0)
+
+
 def sketches(col: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past-the-end row, sketch of each row (uint32), hash of each row's words)."""
     seeds = _seeds(WIDTH, 1)
     for i, j, h, first in word_hashes(col, punctuation=False):
-        n = np.diff(first)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.full(int(n.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
-            place = np.arange(len(h)) - np.repeat(first[:-1], n)
-            total = np.r_[np.uint64(0), np.cumsum(mix(h ^ up[place]), dtype=np.uint64)]
-            whole = mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
-        sh = h
-        for k in range(1, shingle):
-            sh = combine(sh[:-1], h[k:]) if len(sh) > 1 else sh[:0]
-        ok = np.ones(len(sh), bool)  # shingles within one text
-        for b in first[1:-1]:
-            ok[max(0, b - shingle + 1) : b] = False
-        per = np.maximum(n - shingle + 1, 0)
-        sh = sh[ok]
-        sig = np.empty((len(n), WIDTH), np.uint32)
+        whole = _wholes(h, first)
+        sh, per = _shingles(h, first, shingle)
+        sig = np.empty((len(per), WIDTH), np.uint32)
         full = per > 0
         sig[~full] = (mix(whole[~full] ^ _EMPTY)[:, None] ^ seeds[None, :] >> np.uint64(7)).astype(np.uint32)  # too short: equal only to itself
         if full.any():
@@ -80,8 +90,9 @@ def _agreements(sigs: np.ndarray, sig: np.ndarray) -> np.ndarray:
     return np.add.reduce((sigs == sig[:, None]).view(np.uint8), axis=0, dtype=np.uint8)
 
 
-def _alike(ids: np.ndarray, sig: np.ndarray, bounds: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within the runs of rows between ``bounds``, ids rising in each: all alike pairs of a small run; of a large one those that connect it the same."""
+def _alike(ids: np.ndarray, sig: np.ndarray, bounds: np.ndarray, need: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges within the runs of rows between ``bounds``, ids rising in each: all pairs of a small run that agree in ``need`` values, and whether
+    in ``sure``; of a large one the sure ones that connect it the same, and of the others those they don't connect."""
     size = np.diff(bounds)
     small = np.flatnonzero((size > 1) & (size <= _ALL_PAIRS))
     left, right = [], []
@@ -93,7 +104,7 @@ def _alike(ids: np.ndarray, sig: np.ndarray, bounds: np.ndarray, need: int) -> t
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     same = np.concatenate([np.add.reduce((sig[i[s : s + 8192]] == sig[j[s : s + 8192]]).T.copy().view(np.uint8), axis=0, dtype=np.uint8) for s in range(0, len(i), 8192)]) if len(i) else np.zeros(0, np.uint8)
     hit = (same >= need) & (ids[i] != ids[j])
-    a, b = [ids[i[hit]]], [ids[j[hit]]]
+    a, b, safe = [ids[i[hit]]], [ids[j[hit]]], [same[hit] >= sure]
     for r in np.flatnonzero(size > _ALL_PAIRS):
         own, table = ids[bounds[r] : bounds[r + 1]], np.ascontiguousarray(sig[bounds[r] : bounds[r + 1]].T)
         group = np.arange(len(own))
@@ -102,17 +113,21 @@ def _alike(ids: np.ndarray, sig: np.ndarray, bounds: np.ndarray, need: int) -> t
             n = np.count_nonzero(apart)
             if not n:
                 continue
-            if 4 * n < len(apart):
-                todo = np.flatnonzero(apart) + i + 1
-                hit = todo[_agreements(table[:, todo], table[:, i]) >= need]
-            else:
-                hit = np.flatnonzero((_agreements(table[:, i + 1 :], table[:, i]) >= need) & apart) + i + 1
+            todo = np.flatnonzero(apart) + i + 1 if 4 * n < len(apart) else np.arange(i + 1, len(own))
+            same = _agreements(table[:, todo] if len(todo) < len(apart) else table[:, i + 1 :], table[:, i])
+            hit = todo[(same >= sure) & apart[todo - i - 1]]
             if len(hit):
                 met, at = np.unique(group[hit], return_index=True)  # one edge to each group met
                 a.append(np.full(len(at), own[i]))
                 b.append(own[hit[at]])
+                safe.append(np.ones(len(at), bool))
                 group[np.isin(group, met)] = group[i]
-    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+            hit = todo[(same >= need) & (same < sure)]
+            hit = hit[group[hit] != group[i]]
+            a.append(np.full(len(hit), own[i]))
+            b.append(own[hit])
+            safe.append(np.zeros(len(hit), bool))
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64), np.concatenate(safe)
 
 
 def _branches(node: np.ndarray, sig: np.ndarray, chance: float) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +147,10 @@ def trees_for(recall: float, threshold: float, rate: float, depth: int = 2) -> i
 
 
 def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, rate: float, small: int, max_depth: int) -> DataFrame:
-    """(a, b) of sketched rows (id, sig, low: a byte of each value): pairs of similarity at least ``threshold`` by the sketches that, with those they imply, connect what the trees brought together."""
+    """(a, b, sure) of sketched rows (id, sig, low: a byte of each value): pairs that by the sketches may have a similarity of ``threshold`` and, with those they
+    imply, connect what the trees brought together. The others, not ``sure``, are nearer to the threshold than the sketches can tell."""
     spark = sketched.sparkSession
-    trees = trees_for(recall, threshold, rate)
+    trees = trees_for(recall, threshold, rate, max_depth + 2)
     chance = rate / WIDTH
     roots = _seeds(trees, 77)
 
@@ -177,7 +193,10 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
     many = many.select("node", "id", "bl", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("node", F.least("bl", "o").alias("x"), F.greatest("bl", "o").alias("y"), "id", "bl").distinct()
     pairs = single.unionByName(many).join(sketched.select("id", "low"), "id")
 
-    need = math.ceil((threshold + (1 - threshold) / 256) * WIDTH)  # unequal values agree in a byte by chance
+    error = math.sqrt(threshold * (1 - threshold) / WIDTH)
+    by_chance = lambda t: math.ceil((t + (1 - t) / 256) * WIDTH)  # noqa: E731  unequal values agree in a byte by chance
+    need = max(1, by_chance(threshold - 2 * error))
+    sure = by_chance(threshold + 4 * error) if threshold + 4 * error <= 1 else WIDTH + 1
 
     def compare(batches):
         held: list[pa.RecordBatch] = []
@@ -192,8 +211,8 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
             begin = begin[begin < stop]
             ids = table["id"].to_numpy()[:stop]
             sig = np.frombuffer(b"".join(table["low"].slice(0, stop).to_pylist()), np.uint8).reshape(-1, WIDTH)
-            out = _alike(ids, sig, np.r_[begin, stop], need)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b"]), table.slice(stop).to_batches()
+            out = _alike(ids, sig, np.r_[begin, stop], need, sure)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "sure"]), table.slice(stop).to_batches()
 
         for b in batches:
             if b.num_rows:
@@ -208,7 +227,7 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
             yield edges(True)[0]
 
     ordered = pairs.select("node", "x", "y", "id", "low").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y", "id")
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return ordered.mapInArrow(compare, "a long, b long, sure boolean").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,11 +253,37 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("group")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("group"))).distinct()
 
 
+def _confirmed(pairs: DataFrame, lean: DataFrame, heads: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard coefficient of ``threshold`` at least."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def sets(batches):
+        for b in batches:
+            for i, j, h, first in word_hashes(b["text"], punctuation=False):
+                sh, per = _shingles(h, first, shingle)
+                own = [np.unique(x).tobytes() for x in np.split(sh, np.cumsum(per)[:-1])]
+                yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), pa.array(_wholes(h, first).astype(np.int64)), pa.array(own, pa.binary())], names=["id", "whole", "set"])
+
+    def alike(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both >= threshold * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    held = lean.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, whole long, set binary")
+    held = written(held.join(heads, ["id", "whole"], "left_semi").dropDuplicates(["id"]), "sets")  # of rows of one id the one that was sketched
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, recall: float = 0.95, rate: float = 3.0, small: int = 4096, max_depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``group_id`` and ``keep`` of every document that has a near duplicate.
 
     Similarity is the Jaccard coefficient of the sets of ``shingle``-word shingles, words folded in case and stripped of
-    punctuation, estimated by 128 minwise values. Copies (equal words) are grouped before the join and always found.
+    punctuation: estimated by 128 minwise values and, within -2 to +4 standard errors of the threshold, confirmed by the sets themselves. Copies (equal words) are grouped before the join and always found.
     A group is a connected component; ``group_id`` is its least id, the one with ``keep``.
 
     Null ids and null texts take no part. Texts without words are copies of each other. Texts shorter than a shingle
@@ -257,10 +302,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, r
     all_ = written(lean.mapInArrow(sketch, "id long, whole long, sig binary, low binary"), "sketches")
     heads = written(all_.groupBy("whole").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")), "copies")
     copies = all_.select("id", "whole").join(heads.filter("n > 1"), "whole").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    one = all_.join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "sig", "low")
+    one = all_.join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "whole", "sig", "low")
     one = written(one, "heads")
-    edges = near_duplicate_edges(one, threshold, recall, rate, small, max_depth)
-    groups = components(copies.unionByName(edges))
+    edges = written(near_duplicate_edges(one.select("id", "sig", "low"), threshold, recall, rate, small, max_depth), "alike")
+    sure = copies.unionByName(edges.filter("sure").select("a", "b"))
+    near = edges.filter("not sure").select("a", "b").distinct()
+    if not near.isEmpty():  # those that the sure ones connect needn't be looked at
+        at = written(components(sure), "groups")
+        side = lambda c: at.select(F.col("id").alias(c), F.col("group").alias(f"g{c}"))
+        near = near.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")
+        sure = sure.unionByName(_confirmed(written(near, "unsure"), lean, one.select("id", "whole"), threshold, shingle))
+    groups = components(sure)
     return groups.select(F.col("id").alias(id_col), F.col("group").alias("group_id"), (F.col("id") == F.col("group")).alias("keep"))
 
 

@@ -165,6 +165,20 @@ def test_near_duplicates(docs, awkward, empty):
     assert minhash.near_duplicates(empty).count() == minhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_pairs_at_the_threshold(docs):
+    """Pairs of their own, just above the threshold and just below it."""
+    rows, alike = [], {}
+    for i in range(250):
+        k = (24, 23, 25)[i % 3] if i < 240 else 24  # words changed, each in two shingles of 149
+        text = [f"p{i}x{j}" for j in range(150)]
+        other = [f"q{i}x{j}" if j % 6 == 1 and j < 6 * k else w for j, w in enumerate(text)]
+        alike[2 * i] = (149 - 2 * k) / (149 + 2 * k) >= 0.5
+        rows += [(2 * i, " ".join(text), "s"), (2 * i + 1, " ".join(other), "s")]
+    got = {r["group_id"] for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert not any(not alike[g] for g in got)
+    assert len(got) >= 0.9 * sum(alike.values())
+
+
 def test_hot_group(docs):
     """A group larger than a node may be is found whole."""
     text = [f"h{i}" for i in range(120)]
