@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.decontaminate import find_leaks
 from corvane.llm.minhash import drop_near_duplicates
@@ -33,8 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = written(find_leaks(docs, bench).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    # a row without an id is a document of its own
+    keyed = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(*docs.columns)))
+    leaks = written(find_leaks(keyed, bench, id_col="__row").select("__row").distinct(), "leaks")
+    return keyed.join(leaks, "__row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,13 @@ def test_empty(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, path)
     assert docs.count() == 0
+
+
+def test_leak_without_id(spark, folder, docs):
+    path, columns = folder
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first()["text"]
+    rows = [(i, " ".join(f"z{(i * 83 + j) % 2000}" for j in range(80)), "s0") for i in range(40)]
+    df = docs([*rows, (None, item, "s0"), (None, "nothing of it here", "s0"), (None, None, "s0")]).select(*columns)
+    left = corpus_pipeline.decontamination(spark, df, path)
+    assert left.columns == df.columns
+    assert left.count() == 42 and left.filter("doc_id is null").count() == 2
