@@ -3,8 +3,9 @@
 A pattern only proposes a candidate. It is reported when its structure holds:
 base64 or hex that decodes, DER lengths that nest exactly, an OpenSSH container
 whose length-prefixed fields fill it, a signed token whose header and claims are
-JSON objects, a checksum that agrees. Candidates that decode to text are scanned
-again, so that a key wrapped in base64 is found too.
+JSON objects, a checksum that agrees. What a candidate decodes to is scanned
+again, so that a key wrapped in base64 is found too, however often it is wrapped: every wrapping is
+a quarter shorter, which bounds the work. All patterns take time in proportion to the text.
 """
 
 from __future__ import annotations
@@ -28,18 +29,22 @@ from corvane.llm.shared import small_batches, without
 #: What every candidate contains; evaluated inside the JVM so that Python sees only texts with a candidate.
 PREFILTER = (
     r"A[KS]IA[A-Z2-7]{16}|eyJ[A-Za-z0-9_-]{8}|-----BEGIN|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-\d|"
-    r"(?i:passw|pwd|secret|token|api_?-?key|access_?-?key|auth)[A-Za-z_-]*[\"']?[ \t]*[:=]|[A-Za-z0-9+/_-]{40}"
+    r"(?i:passw|pwd|secret|token|api_?-?key|access_?-?key|auth)[A-Za-z_-]{0,40}[\"']?[ \t]{0,20}[:=]|[A-Za-z0-9+/_-]{40}"
 )
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----(.*?)-----END \1PRIVATE KEY-----", re.S)
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40})PRIVATE KEY-----")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 _AWS = re.compile(r"(?<![A-Za-z0-9])(A[KS]IA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 _GIT = re.compile(r"(?<![A-Za-z0-9_])(gh[pousr])_([A-Za-z0-9]{36})(?![A-Za-z0-9_])")
 _SLACK = re.compile(r"(?<![A-Za-z0-9])xox[abprs]-(\d{9,13})-(\d{9,13})-(?:\d{9,13}-)?([A-Za-z0-9]{24,34})(?![A-Za-z0-9])")
-_KEYED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[A-Za-z_-]*[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_=-]{16,})")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_KEYED = re.compile(r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[A-Za-z_-]{0,40}[\"']?[ \t]{0,20}[:=][ \t]{0,20}[\"']?([A-Za-z0-9+/_=-]{16,})")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: What may lie between two lines of one wrapped candidate: a line end, written out or escaped, and marks of quotation or continuation.
+_WRAP = re.compile(r"[\"']?(?:\r?\n|(?:\\r)?\\n|\r)[ \t>#*|]{0,8}(?://[ \t]{1,4})?[\"']?")
+_ESCAPED = re.compile(r"\\r?\\n|\\n|\r\n?")
+_PREFIX = re.compile(r"(?m)^(?:[ \t>#*|\"']|//[ \t]|\+[ \t]){1,12}|[\"'][ \t]{0,4}\+?[ \t]{0,4}$|[ \t\\]{1,6}$")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-_DEPTH = 3
 
 
 def _b64(s: str) -> bytes | None:
@@ -144,14 +149,64 @@ def _checksum(body: str) -> bool:
     return out.rjust(6, "0") == body[30:]
 
 
-def find_secrets(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
+def _pem_blocks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, label, body) of every BEGIN mark and the END mark of its label that is next, with no other BEGIN between."""
+    begin = None
+    for m in _PEM.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None:
+            if m[2] == begin[2]:
+                yield begin.start(), m.end(), m[2], text[begin.end() : m.start()]
+            begin = None
+
+
+def _armoured(body: str, encrypted: bool) -> bool:
+    """Whether the body of a key between its marks decodes to one: lines may be escaped, quoted or end in carriage returns, and headers come first."""
+    body = _ESCAPED.sub("\n", body)
+    body = _PREFIX.sub("", body)
+    if "Proc-Type" in body:
+        body = body.rpartition("\n\n")[2]
+    raw = _b64(body)
+    return bool(raw) and (encrypted and len(raw) >= 64 or key_encoding(raw) is not None)
+
+
+def _candidates(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Runs of the base64 and hex alphabets: lines of one length, and a last one that isn't longer, are one candidate."""
+    m = _RUN.search(text)
+    while m:
+        lines = [m.span()]
+        size = len(m[0])
+        while lines[-1][1] - lines[-1][0] == size and (gap := _WRAP.match(text, lines[-1][1])) and (more := _LINE.match(text, gap.end())) and len(more[0]) <= size:
+            lines.append(more.span())
+        yield lines
+        m = _RUN.search(text, lines[-1][1])
+
+
+def _decoded(s: str) -> bytes | None:
+    return binascii.unhexlify(s) if len(s) % 2 == 0 and _HEX.fullmatch(s) else _b64(s)
+
+
+def _kind(s: str) -> str | None:
+    """What a run of the alphabet is once decoded."""
+    raw = _decoded(s)
+    if not raw:
+        return None
+    if key_encoding(raw):
+        return "private_key"
+    try:
+        inner = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        inner = raw.decode("latin-1")
+    return "encoded_secret" if find_secrets(inner) else None
+
+
+def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the secrets in ``text``, in order, none overlapping another."""
     found: list[tuple[int, int, str]] = []
-    for m in _PEM.finditer(text):
-        body = m[2].split("\n\n")[-1] if "Proc-Type" in m[2] else m[2]
-        raw = _b64(body)
-        if raw and ("ENCRYPTED" in m[0] and len(raw) >= 64 or key_encoding(raw)):
-            found.append((*m.span(), "private_key"))
+    for s, e, label, body in _pem_blocks(text):
+        if _armoured(body, "ENCRYPTED" in label or "ENCRYPTED" in body):
+            found.append((s, e, "private_key"))
     for m in _JWT.finditer(text):
         if _jwt(*m.groups()):
             found.append((*m.span(), "signed_token"))
@@ -164,15 +219,12 @@ def find_secrets(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
     for m in _SLACK.finditer(text):
         if _entropy(m[3]) >= 3:
             found.append((*m.span(), "slack_token"))
-    for m in _RUN.finditer(text):
-        s = m[0]
-        raw = binascii.unhexlify(s) if _HEX.fullmatch(s) and len(s) % 2 == 0 else _b64(s)
-        if not raw:
-            continue
-        if key_encoding(raw):
-            found.append((*m.span(), "private_key"))
-        elif depth < _DEPTH and raw.isascii() and find_secrets(raw.decode("ascii"), depth + 1):
-            found.append((*m.span(), "encoded_secret"))
+    for lines in _candidates(text):
+        kind = _kind("".join(text[s:e] for s, e in lines))
+        if kind:
+            found.append((lines[0][0], lines[-1][1], kind))
+        elif len(lines) > 1:  # they may be of one length by chance
+            found += [(s, e, k) for s, e in lines if e - s >= 40 and (k := _kind(text[s:e]))]
     for m in _KEYED.finditer(text):
         s = m[1]
         if _HEX.fullmatch(s):
@@ -247,4 +299,5 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | Non
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; see :func:`scan_secrets` for nulls, empty texts and repeated rows."""
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
