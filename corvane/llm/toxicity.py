@@ -70,8 +70,8 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                     feats[r] = part.astype(np.int32)
             yield pa.RecordBatch.from_arrays([b["h"], pa.array([x.tobytes() for x in feats], pa.binary())], names=["h", "f"])
 
-    one = rows.mapInArrow(run, "h long, f binary").dropDuplicates(["h"])
-    parts = [np.frombuffer(r, np.int32) for r in one.toArrow()["f"].to_pylist()]
+    one = rows.mapInArrow(run, "h long, f binary").dropDuplicates(["h"]).toArrow().sort_by("h")  # in one order on any cluster
+    parts = [np.frombuffer(r, np.int32) for r in one["f"].to_pylist()]
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     return np.repeat(np.arange(len(parts)), sizes), np.concatenate(parts) if parts else np.zeros(0, np.int32), len(parts)
 
@@ -189,6 +189,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score and flag of every document; see :func:`fit_toxicity` and :func:`toxicity_scores` for nulls, empty texts and repeated rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit_toxicity(docs, labels)
     return toxicity_scores(docs.select("doc_id", "text"), model).select("doc_id", F.round("toxic_score", 6).alias("toxic_score"), "toxic_flag")
