@@ -6,7 +6,9 @@ Sivertsen (2018). A document is the set of its word shingles, sketched by
 a few of the sketch positions are chosen at random, the same for all documents
 there, and for each chosen one the node branches by the value at that position:
 similar documents stay together with a probability of their similarity at every
-branch. Small nodes are compared exhaustively; larger ones branch on. Independent
+branch. Small nodes are compared exhaustively; larger ones branch on. A node that stays large is one of documents so
+alike that no branch parts them: there a few pivots are compared with all, and then only what they didn't connect to the
+largest group, again with all. Independent
 trees are repeated until a pair at the threshold is met with the target recall.
 
 A document can work out its own path, so a level costs one count of node sizes
@@ -30,6 +32,7 @@ from corvane.llm.words import combine, mix, word_hashes
 
 WIDTH = 128
 _ALL_PAIRS, _ROWS_HELD = 24, 1 << 15
+_PIVOTS = 64
 _EMPTY = np.uint64(0x5DEECE66D)
 
 
@@ -185,14 +188,6 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
         if large.isEmpty():
             break
         at = large.join(sketched, "id").select("node", "id", "sig").mapInArrow(deeper, "node long, id long")
-    # a large node that can't be branched on is compared block by block
-    w = F.row_number().over(Window.partitionBy("node").orderBy("id")) - 1
-    blocks = leaves.withColumn("nb", F.ceil(F.col("count") / F.lit(small)).cast("int"))
-    single = blocks.filter("nb = 1").select("node", F.lit(0).alias("x"), F.lit(0).alias("y"), "id", F.lit(0).alias("bl"))
-    many = blocks.filter("nb > 1").withColumn("bl", F.floor(w / F.lit(small)).cast("int"))
-    many = many.select("node", "id", "bl", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select("node", F.least("bl", "o").alias("x"), F.greatest("bl", "o").alias("y"), "id", "bl").distinct()
-    pairs = single.unionByName(many).join(sketched.select("id", "low"), "id")
-
     error = math.sqrt(threshold * (1 - threshold) / WIDTH)
     by_chance = lambda t: math.ceil((t + (1 - t) / 256) * WIDTH)  # noqa: E731  unequal values agree in a byte by chance
     need = max(1, by_chance(threshold - 2 * error))
@@ -226,8 +221,69 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
         if held:
             yield edges(True)[0]
 
-    ordered = pairs.select("node", "x", "y", "id", "low").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y", "id")
-    return ordered.mapInArrow(compare, "a long, b long, sure boolean").distinct()
+    def compared(rows: DataFrame) -> DataFrame:
+        """Edges within each (node, x, y) of rows with sketches."""
+        ordered = rows.select("node", "x", "y", "id", "low").repartition("node", "x", "y").sortWithinPartitions("node", "x", "y", "id")
+        return ordered.mapInArrow(compare, "a long, b long, sure boolean")
+
+    zero = F.lit(0)
+    low = sketched.select("id", "low")
+    out = compared(leaves.filter(F.col("count") <= small).select("node", zero.alias("x"), zero.alias("y"), "id").join(low, "id"))
+    large = leaves.filter(F.col("count") > small)
+    if not large.isEmpty():
+        # blocks of a large node by a hash of the id: no task sees a whole node
+        large = large.withColumn("nb", F.ceil(F.col("count") / F.lit(small)).cast("int")).join(low, "id")
+        large = written(large.withColumn("y", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).select("node", "nb", "y", "id", "low"), "large-nodes")
+        nth = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64(F.col("id"), F.lit(3)), "id"))
+        pivots = large.withColumn("nth", nth).filter(F.col("nth") <= _PIVOTS)  # every task keeps that many before the shuffle
+        spread = pivots.select("node", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("y"), zero.alias("kind"), "id", "low")
+        both = spread.unionByName(large.select("node", "y", F.lit(1).alias("kind"), "id", "low")).repartition("node", "y").sortWithinPartitions("node", "y", "kind", "id")
+        joined = written(both.mapInArrow(_to_pivots(sure), "node long, id long, to long"), "to-pivots")
+        out = out.unionByName(joined.filter("to <> id").select(F.col("id").alias("a"), F.col("to").alias("b"), F.lit(True).alias("sure")))
+        groups = joined.filter("to is not null").groupBy("node", "to").count()
+        main = groups.groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("main"))
+        rest = joined.join(main, "node", "left").filter("main is null or to is null or to <> main").select("node", "id").distinct()
+        rest = written(rest.join(large, ["node", "id"]), "rest-of-nodes")
+        chunks = rest.groupBy("node").agg(F.ceil(F.count("*") / F.lit(small)).cast("int").alias("nr"))
+        rest = rest.join(chunks, "node").withColumn("x", F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.col("nr")).cast("int"))
+        left = rest.select("node", "x", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("y"), F.col("y").alias("own"), "id", "low").filter("y <> own").drop("own")
+        right = large.join(chunks, "node").select("node", F.explode(F.sequence(zero, F.col("nr") - 1)).alias("x"), "y", "id", "low")
+        out = out.unionByName(compared(left.unionByName(right)))
+    return out.distinct()
+
+
+def _to_pivots(sure: int):
+    """For rows (node, y, kind, id, low), pivots (kind 0) first: (node, id, to), where ``to`` is the least pivot of a group of pivots that
+    the document surely belongs to, one row for each such group; null where there is none. Pivots that are surely alike are one group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivot, sigs, group, closed = None, [], [], None, False
+        for b in batches:
+            node, y, kind, ids = (b[c].to_numpy() for c in ("node", "y", "kind", "id"))
+            sig = np.frombuffer(b"".join(b["low"].to_pylist()), np.uint8).reshape(-1, WIDTH)
+            cut = np.flatnonzero((node[1:] != node[:-1]) | (y[1:] != y[:-1]) | (kind[1:] != kind[:-1])) + 1
+            rows = []
+            for s, e in zip(np.r_[0, cut], np.r_[cut, len(node)]) if len(node) else ():
+                if key != (node[s], y[s]) or closed and not kind[s]:
+                    key, pivot, sigs, closed = (node[s], y[s]), [], [], False
+                if not kind[s]:
+                    pivot.append(ids[s:e])
+                    sigs.append(sig[s:e])
+                    continue
+                if not closed:
+                    closed, p, table = True, np.concatenate(pivot), np.ascontiguousarray(np.concatenate(sigs).T)
+                    group = p.copy()
+                    for i in range(len(p)):
+                        met = np.unique(group[_agreements(table, table[:, i]) >= sure])
+                        if len(met):
+                            group[np.isin(group, np.r_[met, group[i]])] = min(met.min(), group[i])
+                for i in range(s, e):
+                    to = np.unique(group[_agreements(table, sig[i]) >= sure])
+                    rows += [(node[s], ids[i], t) for t in to.tolist()] or [(node[s], ids[i], None)]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "id", "to"])
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,21 +330,22 @@ def _confirmed(pairs: DataFrame, lean: DataFrame, heads: DataFrame, threshold: f
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     held = lean.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, whole long, set binary")
-    held = written(held.join(heads, ["id", "whole"], "left_semi").dropDuplicates(["id"]), "sets")  # of rows of one id the one that was sketched
+    held = written(held.join(heads, ["id", "whole"], "left_semi").dropDuplicates(["id"]), "sets")  # of an id's rows the one that was sketched
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, recall: float = 0.95, rate: float = 3.0, small: int = 4096, max_depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``group_id`` and ``keep`` of every document that has a near duplicate.
+    """``id_col``, ``group_id``, ``n_links`` and ``keep`` of every document that has a near duplicate.
 
     Similarity is the Jaccard coefficient of the sets of ``shingle``-word shingles, words folded in case and stripped of
     punctuation: estimated by 128 minwise values and, within -2 to +4 standard errors of the threshold, confirmed by the sets themselves. Copies (equal words) are grouped before the join and always found.
-    A group is a connected component; ``group_id`` is its least id, the one with ``keep``.
+    A group is a connected component; ``group_id`` is its least id, the one with ``keep``. ``n_links``: links of the document's text to different
+    texts that connect the group; a pair that others connect already isn't looked at. Copies have the links of their text, 0 if the group has no other.
 
     Null ids and null texts take no part. Texts without words are copies of each other. Texts shorter than a shingle
-    are only copies. Repeated rows (an id more than once) count once, the first by text. No rows: no rows. Other
-    columns are not looked at.
+    are only copies. Ids are integers. Rows of one id are one document: repeated ones count once, and of different texts that
+    whose words have the least hash. No rows: no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -300,6 +357,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, r
                 yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), pa.array(whole.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["id", "whole", "sig", "low"])
 
     all_ = written(lean.mapInArrow(sketch, "id long, whole long, sig binary, low binary"), "sketches")
+    several = all_.groupBy("id").agg(F.min("whole").alias("chosen"), F.max("whole").alias("other")).filter("chosen <> other").select("id", "chosen")
+    several = written(several, "repeated-ids")
+    if not several.isEmpty():
+        all_ = written(all_.join(several, "id", "left").filter("chosen is null or whole = chosen").drop("chosen"), "sketches")
     heads = written(all_.groupBy("whole").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")), "copies")
     copies = all_.select("id", "whole").join(heads.filter("n > 1"), "whole").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     one = all_.join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "whole", "sig", "low")
@@ -312,8 +373,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, r
         side = lambda c: at.select(F.col("id").alias(c), F.col("group").alias(f"g{c}"))
         near = near.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(ga, a) <> coalesce(gb, b)").select("a", "b")
         sure = sure.unionByName(_confirmed(written(near, "unsure"), lean, one.select("id", "whole"), threshold, shingle))
+    sure = written(sure, "links")
     groups = components(sure)
-    return groups.select(F.col("id").alias(id_col), F.col("group").alias("group_id"), (F.col("id") == F.col("group")).alias("keep"))
+    texts = copies.select(F.col("b").alias("id"), F.col("a").alias("text_id"))  # copies, and whose text they have
+    links = sure.join(copies, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n"))
+    out = groups.join(texts, "id", "left").withColumn("text_id", F.coalesce("text_id", "id")).join(links, "text_id", "left")
+    return out.select(F.col("id").alias(id_col), F.col("group").alias("group_id"), F.coalesce("n", F.lit(0)).alias("n_links"), (F.col("id") == F.col("group")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
@@ -324,4 +389,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataF
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Groups of near duplicates of all documents; see :func:`near_duplicates` for nulls, empty texts and repeated rows."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
