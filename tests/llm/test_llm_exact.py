@@ -103,12 +103,23 @@ def test_top_k(spark):
     rows |= {300 + i: rows[i] for i in range(20)} | {400: [1e4] * 6, 401: [0.0] * 6, 402: [0.0] * 6}
     extra = [(500, None), (501, []), (502, [1.0] * 3), (503, [float("nan")] * 6), (504, [1.0, None] * 3), (None, [1.0] * 6), (0, rows[0])]
     df = spark.createDataFrame([*rows.items(), *extra], "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "'x' as v", "2 as q")
-    got = vafile.top_k(df, 5, block=64, query_block=50, rows_at_once=7).collect()
+    got = vafile.top_k(df, k=5, block=64, query_block=50, rows_at_once=7).collect()
     assert {(r["query_id"], r["neighbor_id"], r["rank"]) for r in got} == nearest(rows, 5)
     assert all(r["distance"] == pytest.approx(math.dist(rows[r["query_id"]], rows[r["neighbor_id"]]), abs=1e-6) for r in got)
     few = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "vec_id long, embedding array<float>")
-    assert {tuple(r)[:3] for r in vafile.top_k(few, 5).collect()} == {(1, 2, 1), (2, 1, 1)}
-    assert vafile.top_k(few.filter("vec_id < 0")).count() == 0
+    assert {tuple(r)[:3] for r in vafile.top_k(few, k=5).collect()} == {(1, 2, 1), (2, 1, 1)}
+    assert vafile.top_k(few.filter("vec_id < 0")).count() == 0 and vafile.top_k(few, few.filter("vec_id < 0")).count() == 0
+    some = vafile.top_k(df, df.filter("vec_id % 7 = 0"), k=5, block=40, query_block=9, rows_at_once=4).collect()
+    assert {(r["query_id"], r["neighbor_id"], r["rank"]) for r in some} == {x for x in nearest(rows, 5) if x[0] % 7 == 0}
+
+
+def test_top_k_reads_in_rounds(spark):
+    """Wide cells: many candidates for each query, read round by round until the kth is certain; ties and copies beyond k."""
+    rng = np.random.default_rng(6)
+    rows = {i: (rng.integers(0, 3, 4) + (1000 if i == 0 else 0)).astype(np.float32).tolist() for i in range(300)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>")
+    got = vafile.top_k(df, df.filter("vec_id < 40"), k=3, block=64).collect()
+    assert {(r["query_id"], r["neighbor_id"], r["rank"]) for r in got} == {x for x in nearest(rows, 3) if x[0] < 40}
 
 
 def brute_model(texts):
@@ -138,12 +149,15 @@ def brute_model(texts):
     return score
 
 
-def test_language_model(docs, monkeypatch):
+@pytest.mark.parametrize(("bucket", "merge_at"), [(1 << 20, 1 << 28), (60, 1 << 28), (60, 100)])
+def test_language_model(docs, monkeypatch, bucket, merge_at):
+    """Small buckets: hot words are spread over slices, and with a small ``merge_at`` summed up beforehand."""
     monkeypatch.setattr(kneser_ney, "_FLUSH", 300)
     rng = np.random.default_rng(5)
     say = lambda n: " ".join(f"v{min(int(z), 80)}" for z in rng.zipf(1.4, n))
     rows = [(i, say(80), "s") for i in range(30)]
-    model, score = kneser_ney.fit_language_model(docs(rows)), brute_model([r[1] for r in rows])
+    model, score = kneser_ney.fit_language_model(docs(rows), bucket=bucket, merge_at=merge_at), brute_model([r[1] for r in rows])
+    assert (model.words.hot > 0) == (bucket == 60)
     asked = [*rows[:5], (90, "v1 never v2 seen v3", "s"), (91, "v1", "s"), (92, "new words only", "s")]
     for r in kneser_ney.perplexities(docs(asked), model).collect():
         text = next(t for i, t, _ in asked if i == r["doc_id"])
