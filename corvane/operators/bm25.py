@@ -15,13 +15,18 @@ PHRASES = "query_id long, phrase int, length int, place int, term string"
 
 @dataclass
 class TextIndex:
-    """``postings``: (term, id, tf, positions); ``lengths``: (id, dl), every row of the text, also those without tokens."""
+    """``postings``: (term, id, tf, positions); ``lengths``: (id, dl), every row of the text, also those without tokens; ``known``: number of rows and of
+    tokens, where a store has kept them."""
 
     postings: DataFrame
     lengths: DataFrame
+    known: tuple[int, int] | None = None
 
     def totals(self) -> DataFrame:
         """One row: rows and their mean length."""
+        if self.known is not None:
+            rows, tokens = self.known
+            return self.postings.sparkSession.range(1).select(F.lit(rows).cast("long").alias("n_rows"), F.lit(tokens / max(rows, 1)).alias("avgdl"))
         return self.lengths.agg(F.count("*").alias("n_rows"), F.avg("dl").alias("avgdl"))
 
 
@@ -63,8 +68,8 @@ def phrase_matches(index: TextIndex, wanted: DataFrame) -> DataFrame:
 def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
     """(query_id, id, bm25_score) of every match; a phrase in at least half of the rows counts with an idf of 1e-6."""
     matches = phrase_matches(index, wanted)
-    df = Window.partitionBy("query_id", "phrase")
-    scored = matches.withColumn("df", F.count("*").over(df)).join(index.lengths, "id").crossJoin(F.broadcast(index.totals()))  # one row
+    df = matches.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))  # a row a phrase
+    scored = matches.join(F.broadcast(df), ["query_id", "phrase"]).join(index.lengths, "id").crossJoin(F.broadcast(index.totals()))  # one row
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, FLOOR).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -124,10 +124,10 @@ class HybridSearch:
         if vector is not None:
             near = self._near(vector, k, memory_type)
             lists = lists.unionByName(near.select("id", F.lit(0).alias("list_id"), F.col("vec_rank").alias("rank"), "distance", F.lit(None).cast("double").alias("fts")))
-        fused = reciprocal_rank_fusion(lists.withColumnRenamed("id", "doc_id"), self.rrf_k)
-        parts = lists.groupBy("id").agg(F.max("distance").alias("distance"), F.coalesce(F.max("fts"), F.lit(0.0)).alias("fts_score"))
+        carry = (F.max("distance").alias("distance"), F.coalesce(F.max("fts"), F.lit(0.0)).alias("fts_score"))
+        fused = reciprocal_rank_fusion(lists.withColumnRenamed("id", "doc_id"), self.rrf_k, carry=carry)
         best = F.greatest(F.max("rrf").over(Window.partitionBy()), F.lit(_FLOOR))
-        fused = fused.select(F.col("doc_id").alias("id"), (F.col("rrf") / best).alias("rrf_score"), "fused_rank").join(parts, "id")
+        fused = fused.select(F.col("doc_id").alias("id"), (F.col("rrf") / best).alias("rrf_score"), "fused_rank", "distance", "fts_score")
         return self._typed(fused, memory_type).withColumn("relevance", F.col("rrf_score")), "fused_rank"
 
     def _scored(self, rows: DataFrame, as_of: dt.datetime | None) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Chunks, vectors and the text index as versioned Parquet snapshots.
+"""Chunks, vectors and the text index as segments of Parquet files.
 
-Every change writes a new version and then swaps the manifest: a reader sees one
-version or the other, and a job that dies leaves the old one. The folder must be
-mounted on every machine.
+A change writes what it adds as a new segment and what it deletes as a list of ids, and then puts the next
+manifest in place: a reader sees one version or the other, a job that dies leaves the old one, and of two writers the
+later one fails instead of undoing the other's work. Small segments are merged once many have gathered, so
+that a row is written again a logarithmic number of times. The folder must be mounted on every machine.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -18,11 +18,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.text import content_hash
 from corvane.operators.bm25 import TextIndex, build_index, lengths_of, postings_of, search
 from corvane.operators.knn import knn_filtered
 from corvane.plans.search import metadata_filter
+from corvane.workspace import workspace
 
 CHUNKS = (
     "id long, file_path string, chunk_index int, content_hash string, chunk_text string, importance double, memory_type string, "
@@ -34,58 +36,137 @@ LENGTHS = "id long, dl int"
 ACCESS = "id long, at timestamp"
 TABLES = {"chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS}
 TOKENIZER_VERSION = 3
+#: Segments, or lists of deleted ids, that may gather before they are merged.
+FAN = 8
 
 
 class ChunkStore:
-    """A store in ``path``; None makes one in a temporary folder, for tests on one machine."""
+    """A store in ``path``, a folder that all machines have; None makes one in the shared folder that :meth:`close` deletes."""
 
     def __init__(self, spark: SparkSession, path: str | Path | None = None, dimension: int = 384):
         self.spark = spark
         self._own = path is None
-        self.path = Path(path or tempfile.mkdtemp(prefix="corvane-store-")).absolute()
+        if path is None:
+            path = f"{workspace(spark)}/store-{uuid.uuid4().hex[:12]}".removeprefix("file:")
+            if "://" in path:
+                raise ValueError(f"{path}: a store needs a folder that is mounted on every machine")
+        self.path = Path(path).absolute()
         self.dimension = dimension
         self.ensure_tables()
 
     # the manifest
 
+    def _versions(self) -> list[int]:
+        return sorted(int(p.stem.split("-")[1]) for p in self.path.glob("manifest-*.json"))
+
     @property
     def _manifest(self) -> dict:
-        return json.loads((self.path / "manifest.json").read_text())
+        return json.loads((self.path / f"manifest-{self._versions()[-1]:012d}.json").read_text())
 
-    def _swap(self, **changed) -> None:
-        now = (self._manifest if (self.path / "manifest.json").exists() else {}) | changed
+    def _put(self, manifest: dict) -> bool:
+        """Make this the next version; False if another writer has made it."""
         tmp = self.path / f".manifest-{uuid.uuid4().hex}"
-        tmp.write_text(json.dumps(now))
-        os.replace(tmp, self.path / "manifest.json")
+        tmp.write_text(json.dumps(manifest))
+        try:
+            os.link(tmp, self.path / f"manifest-{manifest['version']:012d}.json")  # fails where it exists
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            tmp.unlink()
 
     def ensure_tables(self) -> None:
         """Make the store if it isn't there; rebuild the text index if an older tokenizer made it."""
-        if not (self.path / "manifest.json").exists():
-            self.path.mkdir(parents=True, exist_ok=True)
-            for name, schema in TABLES.items():
-                self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/v0/{name}")
-            self._swap(version=0, next_id=1, dimension=self.dimension, tokenizer=TOKENIZER_VERSION)
+        self.path.mkdir(parents=True, exist_ok=True)
+        if not self._versions():
+            self._put({"version": 1, "next_id": 1, "dimension": self.dimension, "tokenizer": TOKENIZER_VERSION, "segments": [], "deleted": [], "rows": 0, "tokens": 0})
         elif self._manifest["tokenizer"] < TOKENIZER_VERSION:
             self.rebuild_text_index()
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/v{self._manifest['version']}/{name}")
-
-    def _commit(self, tables: dict[str, DataFrame], **manifest) -> None:
-        """A new version; tables that aren't given stay as they are."""
-        old = self._manifest["version"]
-        new = f"{self.path}/v{old + 1}"
-        shutil.rmtree(new, ignore_errors=True)  # of a job that died
-        for name in TABLES:
-            if name in tables:
-                out = tables[name].select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in TABLES[name].split(", ")))
-                (out.repartitionByRange("term").sortWithinPartitions("term", "id") if name == "postings" else out).write.parquet(f"{new}/{name}")
-            else:
-                shutil.copytree(f"{self.path}/v{old}/{name}", f"{new}/{name}", copy_function=_link)
-        self._swap(version=old + 1, **manifest)
-        for v in self.path.glob("v*"):  # readers of the version before go on
-            if int(v.name[1:]) < old:
-                shutil.rmtree(v, ignore_errors=True)
+    def _table(self, name: str, segments: list[dict] | None = None, manifest: dict | None = None) -> DataFrame:
+        """The living rows of all segments, or of some: those whose id no later change deleted."""
+        now = manifest or self._manifest
+        segments = now["segments"] if segments is None else segments
+        schema = T.StructType.fromDDL(TABLES[name]) if hasattr(T.StructType, "fromDDL") else self.spark.createDataFrame([], TABLES[name]).schema
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{name}/seq={g['seq']}/part={g['part']}" for g in segments]
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("seq", T.LongType()), T.StructField("part", T.StringType())])).option("basePath", f"{self.path}/{name}").parquet(*paths)
+        if now["deleted"]:
+            gone = self.spark.read.schema("id long, at long").parquet(*(f"{self.path}/deleted/{g['part']}" for g in now["deleted"]))
+            gone = gone.groupBy("id").agg(F.max("at").alias("at"))
+            rows = rows.join(gone, "id", "left").filter("at is null or seq >= at")
+        return rows.select(*schema.names)
+
+    def _commit(self, old: dict, insert: dict[str, DataFrame] | None = None, delete: DataFrame | None = None, segments: list[dict] | None = None, deleted: list[dict] | None = None, **manifest) -> None:
+        """The next version after ``old``: a segment more, a list of deleted ids more, or other lists of both."""
+        seq, part = old["version"] + 1, uuid.uuid4().hex[:12]
+        segments, deleted = list(old["segments"] if segments is None else segments), list(old["deleted"] if deleted is None else deleted)
+        rows, tokens = old["rows"], old["tokens"]
+        if delete is not None:
+            delete.select("id", F.lit(seq).cast("long").alias("at")).write.parquet(f"{self.path}/deleted/{part}")
+            ids = self.spark.read.schema("id long, at long").parquet(f"{self.path}/deleted/{part}")
+            lost = self._table("lengths", manifest=old).join(ids.select("id").distinct(), "id", "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+            if lost["n"]:
+                deleted.append({"part": part})
+                rows, tokens = rows - lost["n"], tokens - lost["dl"]
+        if insert is not None:
+            at = manifest.pop("at", seq)
+            for name, out in insert.items():
+                out = out.select(*(F.col(f.split()[0]).cast(f.split()[1]) for f in TABLES[name].split(", ")))
+                out = out.repartitionByRange("term").sortWithinPartitions("term", "id") if name == "postings" else out
+                out.write.parquet(f"{self.path}/{name}/seq={at}/part={part}")
+            size = self.spark.read.schema(LENGTHS).parquet(f"{self.path}/lengths/seq={at}/part={part}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+            if size["n"]:
+                segments.append({"seq": at, "part": part, "rows": size["n"]})
+            if manifest.pop("counted", True):
+                rows, tokens = rows + size["n"], tokens + size["dl"]
+        new = old | {"version": seq, "segments": segments, "deleted": deleted, "rows": rows, "tokens": tokens} | manifest
+        if not self._put(new):
+            raise RuntimeError(f"{self.path}: another writer has changed the store")
+        self._clean(old)
+
+    def _clean(self, old: dict) -> None:
+        """Delete what neither the present version nor the one before, whose readers go on, refers to."""
+        for v in self._versions():
+            if v < old["version"]:
+                (self.path / f"manifest-{v:012d}.json").unlink(missing_ok=True)
+        dropped = {(g["seq"], g["part"]) for g in old.get("dropped", [])}
+        for seq, part in dropped:
+            for name in TABLES:
+                shutil.rmtree(self.path / name / f"seq={seq}" / f"part={part}", ignore_errors=True)
+        for part in old.get("undeleted", []):
+            shutil.rmtree(self.path / "deleted" / part, ignore_errors=True)
+
+    def compact(self, force: bool = False) -> None:
+        """Merge the last segments where many have gathered: as many as are together smaller than the one before them, all if ``force``."""
+        now = self._manifest
+        segments = now["segments"]
+        if not force and len(segments) < FAN and len(now["deleted"]) < FAN:
+            return
+        first = len(segments) - 1
+        while first > 0 and (force or sum(g["rows"] for g in segments[first:]) * 2 > segments[first - 1]["rows"]):
+            first -= 1
+        first = max(first, 0)
+        merged, deleted = segments[first:], now["deleted"]
+        insert = {name: self._table(name, merged, now) for name in TABLES} if merged else None
+        if not first:
+            kept, gone = [], deleted  # nothing is left that a list could delete from
+        elif len(deleted) >= FAN:
+            part = uuid.uuid4().hex[:12]
+            lists = self.spark.read.schema("id long, at long").parquet(*(f"{self.path}/deleted/{g['part']}" for g in deleted))
+            lists.groupBy("id").agg(F.max("at").alias("at")).write.parquet(f"{self.path}/deleted/{part}")
+            kept, gone = [{"part": part}], deleted
+        else:
+            kept, gone = deleted, []
+        at = max((g["seq"] for g in merged), default=now["version"] + 1)
+        self._commit(now, insert, segments=segments[:first], deleted=kept, at=at, counted=False, dropped=merged, undeleted=[g["part"] for g in gone])
+
+    def _changed(self, old: dict, insert: dict[str, DataFrame] | None = None, delete: DataFrame | None = None, **manifest) -> None:
+        self._commit(old, insert, delete, dropped=[], undeleted=[], **manifest)
+        for tmp in self.path.glob("tmp-*"):
+            shutil.rmtree(tmp, ignore_errors=True)
+        self.compact()
 
     # reading
 
@@ -102,7 +183,9 @@ class ChunkStore:
         return self._table("vectors")
 
     def text_index(self) -> TextIndex:
-        return TextIndex(self._table("postings"), self._table("lengths"))
+        """The text index; rows and mean length are kept with the manifest."""
+        now = self._manifest
+        return TextIndex(self._table("postings", manifest=now), self._table("lengths", manifest=now), (now["rows"], now["tokens"]))
 
     def count(self) -> int:
         return self._table("chunks").count()
@@ -130,11 +213,15 @@ class ChunkStore:
 
     # writing
 
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        """``rows`` worked out once, for all that a change writes."""
+        tmp = f"{self.path}/tmp-{uuid.uuid4().hex}"
+        rows.write.parquet(tmp)
+        return self.spark.read.schema(rows.schema).parquet(tmp)
+
     def _numbered(self, rows: DataFrame, order: tuple[str, ...], start: int) -> DataFrame:
         """``rows`` with ``id`` from ``start`` in this order: ranges are numbered each for itself, after a count of each."""
-        tmp = f"{self.path}/tmp-{uuid.uuid4().hex}"
-        rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(tmp)
-        staged = self.spark.read.parquet(tmp)
+        staged = self._staged(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
         before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         offsets = staged.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))  # a row a partition
         nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
@@ -144,14 +231,10 @@ class ChunkStore:
         """Delete the rows of ``delete`` (id) and append those of ``insert``, as one version; the number appended.
 
         ``insert``: embedding, file_path and chunk_text; chunk_index, content_hash, importance, memory_type and tags if they differ from 0, the text's
-        hash, 0.5, "semantic" and none.
+        hash, 0.5, "semantic" and none. Only what changes is written.
         """
-        chunks, vectors, index = self._table("chunks"), self.vectors(), self.text_index()
-        tables = {"chunks": chunks, "vectors": vectors, "postings": index.postings, "lengths": index.lengths}
-        if delete is not None:
-            gone = delete.select("id").distinct()
-            tables = {k: v.join(gone, "id", "left_anti") for k, v in tables.items()}
-        n, start = 0, self._manifest["next_id"]
+        old = self._manifest
+        n, start, add = 0, old["next_id"], None
         if insert is not None:
             now = F.current_timestamp()
             have = {c.lower() for c in insert.columns}
@@ -161,13 +244,12 @@ class ChunkStore:
                 default("content_hash", content_hash(F.coalesce("chunk_text", F.lit("")))).alias("content_hash"), default("importance", F.lit(0.5)).alias("importance"), default("memory_type", F.lit("semantic")).alias("memory_type"),
                 default("tags", F.array().cast("array<string>")).alias("tags"), F.lit(None).cast("timestamp").alias("last_accessed"), F.lit(0).alias("access_count"), now.alias("created_at"), now.alias("updated_at"),
             )
-            rows = self._numbered(rows, ("file_path", "chunk_index"), start)
+            rows = self._staged(self._numbered(rows, ("file_path", "chunk_index"), start))
             n = rows.count()
-            add = {"chunks": rows.drop("embedding"), "vectors": rows.select("id", "embedding"), "postings": postings_of(rows), "lengths": lengths_of(rows)}
-            tables = {k: v.unionByName(add[k]) for k, v in tables.items()}
-        self._commit(tables, next_id=start + n)
-        for tmp in self.path.glob("tmp-*"):
-            shutil.rmtree(tmp, ignore_errors=True)
+            if n:
+                add = {"chunks": rows.drop("embedding"), "vectors": rows.select("id", "embedding"), "postings": postings_of(rows), "lengths": lengths_of(rows)}
+        if add is not None or delete is not None:
+            self._changed(old, add, None if delete is None else self._staged(delete.select("id").distinct()), next_id=start + n)
         return n
 
     def add(self, records: DataFrame) -> int:
@@ -191,7 +273,8 @@ class ChunkStore:
         return n
 
     def clear(self) -> None:
-        self._commit({name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+        old = self._manifest
+        self._commit(old, segments=[], deleted=[], rows=0, tokens=0, dropped=old["segments"], undeleted=[g["part"] for g in old["deleted"]])
 
     def update(self, updates: DataFrame) -> None:
         """Rows (id, embedding, chunk_text, content_hash) in place of those of their ids. An empty or null text keeps the old text; the hash is that
@@ -199,28 +282,30 @@ class ChunkStore:
         cols = [F.col(c).alias(f"__{c}") if c in updates.columns else F.lit(None).cast("string").alias(f"__{c}") for c in ("chunk_text", "content_hash")]
         new = updates.select("id", F.col("embedding").alias("__embedding"), *cols).groupBy("id").agg(F.max(F.struct("__embedding", "__chunk_text", "__content_hash")).alias("u")).select("id", "u.*")
         text, given = F.nullif(F.col("__chunk_text"), F.lit("")), F.nullif(F.col("__content_hash"), F.lit(""))
-        hit = F.col("__embedding").isNotNull() | text.isNotNull() | given.isNotNull()
-        old = self._table("chunks")
-        chunks = old.join(new, "id", "left").withColumns({"content_hash": F.coalesce(given, content_hash(text), F.col("content_hash")), "chunk_text": F.coalesce(text, F.col("chunk_text")), "updated_at": F.when(hit, F.current_timestamp()).otherwise(F.col("updated_at"))})
-        vectors = self.vectors().join(new.select("id", "__embedding"), "id", "left").select("id", F.coalesce("__embedding", "embedding").alias("embedding"))
-        changed = chunks.filter(text.isNotNull())
-        ids, index = changed.select("id"), self.text_index()
-        self._commit(
-            {
-                "chunks": chunks.select(*old.columns),
-                "vectors": vectors,
-                "postings": index.postings.join(ids, "id", "left_anti").unionByName(postings_of(changed)),
-                "lengths": index.lengths.join(ids, "id", "left_anti").unionByName(lengths_of(changed)),
-            }
-        )
+        new = self._staged(new.filter(F.col("__embedding").isNotNull() | text.isNotNull() | given.isNotNull()))
+        old = self._manifest
+        chunks = self._table("chunks", manifest=old).join(new, "id").withColumns({"content_hash": F.coalesce(given, content_hash(text), F.col("content_hash")), "chunk_text": F.coalesce(text, F.col("chunk_text")), "updated_at": F.current_timestamp()})
+        vectors = self._table("vectors", manifest=old).join(new.select("id", "__embedding"), "id").select("id", F.coalesce("__embedding", "embedding").alias("embedding"))
+        rows = self._staged(chunks.drop("__embedding", "__chunk_text", "__content_hash"))
+        self._changed(old, {"chunks": rows, "vectors": vectors, "postings": postings_of(rows), "lengths": lengths_of(rows)}, rows.select("id"))
 
     def record_access(self, ids: DataFrame) -> None:
         """One access for every row of ``ids`` (id), appended to a log that reading sums up."""
         ids.select("id", F.current_timestamp().alias("at")).write.mode("append").parquet(str(self.path / "access"))
 
+    def backfill_text_index(self, force: bool = False) -> bool:
+        """Index the text of all rows anew where the index is empty, or in any case; whether it was done."""
+        if not force and not self._table("lengths").isEmpty():
+            return False
+        self.rebuild_text_index()
+        return True
+
     def rebuild_text_index(self) -> None:
-        index = build_index(self._table("chunks"))
-        self._commit({"postings": index.postings, "lengths": index.lengths}, tokenizer=TOKENIZER_VERSION)
+        """All rows as one segment, their text tokenised again."""
+        old = self._manifest
+        chunks = self._table("chunks", manifest=old)
+        insert = {"chunks": chunks, "vectors": self._table("vectors", manifest=old), "postings": postings_of(chunks), "lengths": lengths_of(chunks)}
+        self._commit(old | {"rows": 0, "tokens": 0}, insert, segments=[], deleted=[], dropped=old["segments"], undeleted=[g["part"] for g in old["deleted"]], tokenizer=TOKENIZER_VERSION)
 
     def counts(self) -> DataFrame:
         """One row: chunks, vectors and indexed rows, which must be equal, and distinct files."""
@@ -234,11 +319,3 @@ class ChunkStore:
     def close(self) -> None:
         if self._own:
             shutil.rmtree(self.path, ignore_errors=True)
-
-
-def _link(src: str, dst: str) -> None:
-    """A hard link where the file system has them: an unchanged table costs no copy."""
-    try:
-        os.link(src, dst)
-    except OSError:
-        shutil.copy2(src, dst)

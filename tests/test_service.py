@@ -75,13 +75,59 @@ def test_store(spark, tmp_path):
     assert store.insert_embedding([0.0] * 4, "z.md", 0, "z") == 4
     again = ChunkStore(spark, tmp_path / "store", 4)
     assert again.count() == 2
-    again._swap(tokenizer=2)
+    again._commit(again._manifest, tokenizer=2)
     ChunkStore(spark, tmp_path / "store", 4)
     assert again._manifest["tokenizer"] == 3
     again.clear()
     assert again.count() == 0 and again.search_fts("z").count() == 0
 
 
+def test_store_writes_changes_only(spark, tmp_path):
+    """A small change writes a small segment; many of them are merged, deleted rows stay deleted, and totals agree with the tables."""
+    store = ChunkStore(spark, tmp_path / "store", 2)
+    alive, rng = {}, __import__("random").Random(3)
+    big = spark.createDataFrame([([1.0, float(i)], "big.md", i, f"word{i % 7} common text {'x ' * (i % 5)}") for i in range(60)], "embedding array<float>, file_path string, chunk_index int, chunk_text string")
+    assert store.add(big) == 60
+    alive = {r["id"]: r["chunk_text"] for r in store.chunks().collect()}
+    first = store._manifest["segments"][0]
+    for step in range(12):
+        id_ = store.insert_embedding([0.0, 1.0], f"{step}.md", 0, f"step {step}")
+        alive[id_] = f"step {step}"
+        if step % 2:
+            gone = rng.choice(sorted(alive))
+            store.delete([gone, 9999])
+            del alive[gone]
+        if step == 5:
+            store.update(spark.createDataFrame([(id_, None, "updated words")], "id long, embedding array<float>, chunk_text string"))
+            alive[id_] = "updated words"
+        assert len(store._manifest["segments"]) <= 9
+    assert store._manifest["segments"][0] == first  # the large segment was never written again
+    assert {r["id"]: r["chunk_text"] for r in store.chunks().collect()} == alive
+    c, now = store.counts().first(), store._manifest
+    assert c["chunks"] == c["vectors"] == c["indexed"] == len(alive) == now["rows"]
+    assert now["tokens"] == store._table("lengths").agg(F.sum("dl")).first()[0]
+    store.compact(force=True)
+    assert len(store._manifest["segments"]) == 1 and not store._manifest["deleted"]
+    assert {r["id"]: r["chunk_text"] for r in store.chunks().collect()} == alive
+    assert store.search_fts("updated").count() == 1 and store.search_fts("step").count() == sum(t.startswith("step") for t in alive.values())
+
+
+def test_store_writers_do_not_undo_each_other(spark, tmp_path):
+    store = ChunkStore(spark, tmp_path / "store", 2)
+    seen = store._manifest
+    store.insert_embedding([0.0, 1.0], "a.md", 0, "a")
+    with pytest.raises(RuntimeError):
+        store._commit(seen, next_id=7)
+    assert store.count() == 1
+
+
+def test_backfill(spark, tmp_path):
+    store = ChunkStore(spark, tmp_path / "store", 2)
+    store.insert_embedding([0.0, 1.0], "a.md", 0, "some words")
+    assert not store.backfill_text_index() and store.backfill_text_index(force=True)
+    assert store.search_fts("words").count() == 1 and store._manifest["rows"] == 1
+
+
 def test_stream(spark, folder, tmp_path):
     store = ChunkStore(spark, tmp_path / "s", 4)
     index = Indexer(store, LengthEmbedder(), folder)
