@@ -69,6 +69,26 @@ def parse_meta(block: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_meta(b) for b in block], columns=["importance", "memory_type", "tags", "error"])
 
 
+def preview(text: Column, size: int = 200) -> Column:
+    """The first ``size`` characters, with an ellipsis where more follow."""
+    return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
+
+
+def iso_timestamp(text: Column) -> Column:
+    """A time of ISO text, with or without a zone; null for what isn't one."""
+    return F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}([T ]|\s*$)"), text.try_cast("timestamp"))
+
+
+def json_of_tags(tags: Column) -> Column:
+    """Tags as a JSON list; the empty list for null."""
+    return F.to_json(F.coalesce(tags, F.array().cast("array<string>")))
+
+
+def tags_of_json(text: Column) -> Column:
+    """The list in a JSON text; no tags for null and for what isn't a JSON list."""
+    return F.coalesce(F.from_json(text, T.ArrayType(T.StringType())), F.array().cast("array<string>"))
+
+
 def chunks_of(text: str | None, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[str]:
     """Runs of whole paragraphs of at most ``size`` characters, each beginning with the last ones of the run before, of at most ``overlap``.
 

@@ -19,6 +19,9 @@ from corvane.operators.diff import changes
 from corvane.operators.fusion import reciprocal_rank_fusion
 from corvane.operators.knn import knn, knn_batch, knn_filtered
 from corvane.plans.search import HybridSearch, SearchMode
+from corvane.store_queries import PARAGRAPHS, chunks_sql, index_of
+from corvane.store_queries import QUERIES as STORE_QUERIES
+from corvane.store_queries import SQL as STORE_SQL
 
 AS_OF = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 QUERY = "estion ndat"
@@ -48,10 +51,11 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(_vectors(spark, sf_dir).filter("id = 0").first()["embedding"])
 
 
-def _index(spark: SparkSession, sf_dir: str, query: str) -> bm25.TextIndex:
-    terms = [r["term"] for r in bm25.phrases(spark, [(0, query)]).collect()]
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("chunk_text"))
-    return bm25.build_index(docs, terms=terms)
+def _index(spark: SparkSession, sf_dir: str) -> bm25.TextIndex:
+    """The stored text index; its ids are those of the documents and one more."""
+    index = index_of(spark, sf_dir).text_index()
+    of_doc = lambda rows: rows.withColumn("id", F.col("id") - 1)
+    return bm25.TextIndex(of_doc(index.postings), of_doc(index.lengths), index.known)
 
 
 def knn_cosine(spark, d):
@@ -87,18 +91,18 @@ def term_df(spark, d):
 
 
 def _bm25(query: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: bm25.search(_index(spark, d, query), query, 20).select("id", F.round("bm25_score", 6).alias("bm25_score"), "rank")
+    return lambda spark, d: bm25.search(_index(spark, d), query, 20).select("id", F.round("bm25_score", 6).alias("bm25_score"), "rank")
 
 
 def rrf_fusion(spark, d):
     near = knn(_vectors(spark, d), _query_vector(spark, d), 30).select(F.col("id").alias("doc_id"), F.lit(0).alias("list_id"), "rank")
-    hits = bm25.search(_index(spark, d, QUERY), QUERY, 30).select(F.col("id").alias("doc_id"), F.lit(1).alias("list_id"), "rank")
+    hits = bm25.search(_index(spark, d), QUERY, 30).select(F.col("id").alias("doc_id"), F.lit(1).alias("list_id"), "rank")
     return reciprocal_rank_fusion(near.unionByName(hits)).select("doc_id", F.round("rrf", 9).alias("rrf"), "fused_rank")
 
 
 def _scored(mode: SearchMode, memory_type: str | None = None, min_score: float = 0.0) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        engine = HybridSearch(_chunks(spark, d), _vectors(spark, d), _index(spark, d, QUERY))
+        engine = HybridSearch(_chunks(spark, d), _vectors(spark, d), _index(spark, d))
         found = engine.search(QUERY, _query_vector(spark, d), 10, memory_type, min_score, mode, AS_OF)
         r = lambda c: F.round(c, 6).alias(c)
         return found.select("id", "file_path", "memory_type", r("semantic_score"), r("fts_score"), r("rrf_score"), "importance", r("temporal_decay"), r("hybrid_score"))
@@ -154,6 +158,7 @@ def access_log_rollup(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **STORE_QUERIES,
     "score_hybrid": _scored(SearchMode.HYBRID),
     "score_hybrid_typed": _scored(SearchMode.HYBRID, "en"),
     "score_fts_only": _scored(SearchMode.FTS_ONLY),
@@ -240,6 +245,9 @@ SELECT {_OUT} FROM scored"""
 
 
 SQL: dict[str, str] = {
+    **STORE_SQL,
+    "chunk_documents": f"""WITH RECURSIVE docs AS (SELECT doc_id AS key, replace(text, E'\\n', E'\\n\\n') AS text FROM documents), {chunks_sql(PARAGRAPHS)}
+SELECT key AS doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(length(chunk_text) AS INTEGER) AS n_chars, sha256(chunk_text) AS content_hash FROM pieces""",
     "score_hybrid": _hybrid_sql(None),
     "score_hybrid_typed": _hybrid_sql("en"),
     "score_fts_only": f"""WITH {_CHUNKS}, {_hits(_TWO, 30)},

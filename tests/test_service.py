@@ -1,8 +1,10 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.__main__ import main, preview
-from corvane.embedding import Embedder, LengthEmbedder, create_embedder
+from corvane.embedding import Embedder, create_embedder
 from corvane.indexer import Indexer, failures
 from corvane.service import RetrievalService
 from corvane.sources.files import as_text, list_files, read_files
@@ -10,14 +12,29 @@ from corvane.store import ChunkStore
 from corvane.streaming.incremental import file_stream, index_stream
 
 
+class HashingEmbedder:
+    """Vectors of hashed words, for tests."""
+
+    dimension = 4
+
+    def embed(self, text):
+        out = [0.0] * self.dimension
+        for word in text.split():
+            out[hashlib.sha256(word.encode()).digest()[0] % self.dimension] += 1.0
+        return out
+
+    def embed_batch(self, texts):
+        return [self.embed(t) for t in texts]
+
+
 @pytest.fixture
 def folder(tmp_path):
     root = tmp_path / "docs"
     (root / ".hid").mkdir(parents=True)
     (root / "sub").mkdir()
-    (root / "file1.md").write_text("# File 1\n\nFirst paragraph of file 1.\n\nSecond paragraph.")
-    (root / "file2.md").write_bytes(b"---\r\nimportance: 0.9\r\ntype: episodic\r\n---\r\n# File 2\r\n\r\nContent.")
-    (root / "sub" / "nested.MD").write_text("# Nested\n\nNested file content.")
+    (root / "file1.md").write_text("# Gardens\n\nRoses grow here.\n\nSo do lilies.")
+    (root / "file2.md").write_bytes(b"---\r\nimportance: 0.9\r\ntype: episodic\r\n---\r\n# Ponds\r\n\r\nFish swim.")
+    (root / "sub" / "nested.MD").write_text("# Deeper\n\nA nested page.")
     (root / "_u.md").write_text("under")
     (root / ".hid" / ".h.md").write_text("hidden")
     (root / "bad.md").write_bytes(b"\xff\xfe\xff")
@@ -37,12 +54,12 @@ def test_sources(spark, folder):
 
 
 def test_service(spark, folder):
-    s = RetrievalService(spark, folder, LengthEmbedder())
+    s = RetrievalService(spark, folder, HashingEmbedder())
     assert s.is_available and "file1.md" in s.list_files()
     assert s.rebuild_index() == 5
     assert s.incremental_index() == 0
     row = s.store.chunks().filter("file_path = 'file2.md'").first()
-    assert (row["importance"], row["memory_type"], row["chunk_text"]) == (0.9, "episodic", "# File 2\n\nContent.")
+    assert (row["importance"], row["memory_type"], row["chunk_text"]) == (0.9, "episodic", "# Ponds\n\nFish swim.")
     c = s.store.counts().first()
     assert c["chunks"] == c["vectors"] == c["indexed"] == 5
     (folder / "file1.md").write_text("changed words")
@@ -130,7 +147,7 @@ def test_backfill(spark, tmp_path):
 
 def test_stream(spark, folder, tmp_path):
     store = ChunkStore(spark, tmp_path / "s", 4)
-    index = Indexer(store, LengthEmbedder(), folder)
+    index = Indexer(store, HashingEmbedder(), folder)
     for _ in range(2):
         index_stream(index, file_stream(spark, str(folder), "file*.md"), str(tmp_path / "c")).awaitTermination(120)
     assert store.count() == 2
@@ -138,12 +155,12 @@ def test_stream(spark, folder, tmp_path):
 
 
 def test_embedders():
-    e = LengthEmbedder()
-    assert isinstance(e, Embedder) and e.embed("x" * 12) == [0.0] * 4 and e.embed_batch(["ab"]) == [e.embed("ab")]
+    e = HashingEmbedder()
+    assert isinstance(e, Embedder) and sum(e.embed("two words")) == 2.0 and e.embed_batch(["ab"]) == [e.embed("ab")]
     with pytest.raises(RuntimeError):
         create_embedder("none", prefer_onnx=False)
 
 
 def test_cli(capsys):
-    assert main(["x"]) == 0
+    assert main(["x"]) == 0 and main(["x", "--rebuild"]) == 1 and "--model" in capsys.readouterr().err
     assert preview("a" * 201) == "a" * 200 + "..." and preview("a") == "a"
