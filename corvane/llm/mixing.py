@@ -81,13 +81,19 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     cut = inside.join(cut, "__source").groupBy("__source", "__cut", "__left").agg(before.alias("__before")).select("__source", "__cut", (F.col("__left") - F.col("__before")).alias("__at_cut"))
     bound = written(plan.join(cut, "__source", "left"), "mix-bounds")
 
-    rows = base.join(bound, "__source").withColumn("__row", F.struct(_key(seed, F.col("__full"), F.col(id_col)).alias("__key"), F.col(id_col).alias("__id"), F.col("n_tokens")))
+    # the table is read once more for all epochs, the copies of a row being made of one count of its tokens
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    full = rows.filter("__full > 0").select(*cols, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__full") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
-    below = rows.filter("__rest > 0 and __row < __cut").select(*cols, F.col("__full").alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
+    key = _key(seed, F.col("__full"), F.col(id_col))
+    row = F.struct(key.alias("__key"), F.col(id_col).alias("__id"), F.col("n_tokens"))
+    epochs = F.when(F.col("__full") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("__full") - 1)).otherwise(F.array().cast("array<bigint>"))
+    epochs = F.when((F.col("__rest") > 0) & (row < F.col("__cut")), F.concat(epochs, F.array("__full"))).otherwise(epochs)
+    taken = base.join(bound, "__source").select(*cols, F.explode(epochs).alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
+    # and once for the rows at a bound, of which only those of its key have their tokens counted
+    near = docs.withColumn("__source", source).join(bound.filter("__rest > 0"), "__source").filter(key == F.col("__cut.__key"))
+    near = near.withColumn("n_tokens", n_tokens(F.col(text_col))).filter(row == F.col("__cut"))
     nth = F.row_number().over(Window.partitionBy("__source").orderBy("n_tokens"))
-    at = rows.filter("__rest > 0 and __row = __cut").withColumn("take_tokens", F.least(F.col("n_tokens"), F.col("__at_cut") - (nth - 1) * F.col("n_tokens")).cast("bigint")).filter("take_tokens > 0")
-    return full.unionByName(below).unionByName(at.select(*cols, F.col("__full").alias("epoch"), "n_tokens", "take_tokens"))
+    at = near.withColumn("take_tokens", F.least(F.col("n_tokens"), F.col("__at_cut") - (nth - 1) * F.col("n_tokens")).cast("bigint")).filter("take_tokens > 0")
+    return taken.unionByName(at.select(*cols, F.col("__full").alias("epoch"), "n_tokens", "take_tokens"))
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
