@@ -26,6 +26,13 @@ from corvane.llm.tokens import VOCABULARY, encoding
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def plain(text: str) -> str:
+    """``text`` with every mark in it broken by a blank after its "<": whoever reads the window finds only the marks of its turns."""
+    while START in text or END in text:  # once, but for a mark inside a mark
+        text = text.replace(START, f"< {START[1:]}").replace(END, f"< {END[1:]}")
+    return text
+
+
 class _Windows:
     """The windows of one conversation, as its turns come. A turn: (turn, role, text, tokens before the text, all tokens)."""
 
@@ -84,7 +91,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, vocab
 
     A turn that exceeds the budget alone with the system turn stays whole, in a window of its own, with ``over_budget``.
     All system turns are kept, in front. Null conversations are left out; a null turn comes last, a null role is "user",
-    a null text is empty. Turns of equal number are ordered by role and text; a row that repeats another counts once.
+    a null text is empty. Marks within a text or a role are broken by a blank (``< |im_end|>``), and counted so. Turns of equal number are ordered by role and text; a row that repeats another counts once.
     A conversation of system turns alone is one window without new turns. No rows: no rows. Other columns aren't looked at.
     """
     small_batches(turns.sparkSession)
@@ -107,6 +114,7 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, vocab
                     ("over_budget", pa.bool_()), ("text", pa.string()), ("targets", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
                 ])
             for conv, turn, role, text in zip(*(b[c].to_pylist() for c in ("conv", "turn", "role", "text"))):
+                role, text = plain(role), plain(text)
                 if now is None or conv != now.conv:
                     if now is not None:
                         out += now.end()
@@ -124,4 +132,5 @@ def chat_windows(turns: DataFrame, budget: int = 1024, history: int = 256, vocab
 
 
 def op3_chat_windows(spark, sf_dir: str) -> DataFrame:
+    """Windows of all conversations; see :func:`chat_windows` for nulls, ties and repeated rows."""
     return chat_windows(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
