@@ -8,7 +8,8 @@ suffixes share ``least`` words, and come from different documents, every one of
 Windows that overlap or touch are joined to passages.
 
 Between machines go rows of 40 bytes for a segment, about one for 22 words, and the words of the
-distinct segments that must be sorted.
+distinct segments that must be sorted. A task that gets more than ``room`` words, as the key of a hot passage may bring it,
+keeps them and all that is as long in files, and in memory a few numbers for each segment and each different word.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.induced import groups, suffix_order
+from corvane.llm import induced
+from corvane.llm.induced import _array, packed_order, pieces
 from corvane.llm.shared import local_path, shared_dir, small_batches, written
 from corvane.llm.words import _tables, combine, mix, word_hashes
 
@@ -61,16 +63,85 @@ def _segments(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray,
     return text[begin], key[begin], whole, begin - first[text[begin]], end - begin
 
 
-def _dense(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The segments' words as one text of ranks, each segment ended by a symbol of its own, the last by 0."""
-    n = len(sizes)
-    ends = np.cumsum(sizes + 1) - 1
-    text = np.empty(int(sizes.sum()) + n, np.int64)
-    own = np.ones(len(text), bool)
-    own[ends] = False
-    text[own] = np.unique(words, return_inverse=True)[1] + n
-    text[ends] = np.arange(n - 1, -1, -1)
-    return text
+class _Words:
+    """The words of a shard's segments, in a file once there are more than ``room``."""
+
+    def __init__(self, room: int, base: str):
+        self.room, self.base, self.folder, self.file = room, base, None, None
+        self.held: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.n = 0
+
+    def add(self, words: np.ndarray) -> None:
+        self.held.append(words)
+        self.sizes.append(len(words))
+        self.n += len(words) + 1
+        if self.n > self.room and self.file is None:
+            os.makedirs(folder := f"{local_path(self.base)}/suffixes-{uuid.uuid4().hex}")
+            self.folder, self.file = folder, open(f"{folder}/words", "wb")
+        if self.file and len(self.held) > 256:
+            self._write()
+
+    def _write(self) -> None:
+        for w in self.held:
+            w.tofile(self.file)
+        self.held = []
+
+    def text(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The segments' words as one text of ranks, each segment ended by a symbol of its own, the last by 0; the segments' sizes and first places."""
+        sizes = np.array(self.sizes, np.int64)
+        if self.file:
+            self._write()
+            self.file.close()
+            words = np.asarray(np.memmap(f"{self.folder}/words", np.uint32, "r"))
+        else:
+            words = np.concatenate(self.held)
+            self.held = []
+        kinds = np.zeros(0, np.uint32)
+        for s in pieces(len(words)):
+            kinds = np.union1d(kinds, words[s])
+        n, starts = len(sizes), np.cumsum(sizes + 1) - sizes - 1
+        text = _array(self.folder, "text", self.n, np.int32 if n + len(kinds) < 1 << 31 else np.int64)
+        first = np.cumsum(sizes) - sizes
+        for s in pieces(len(words)):
+            at = np.arange(s.start, s.stop)
+            owner = np.searchsorted(first, at, side="right") - 1
+            text[at + owner] = np.searchsorted(kinds, words[s]) + n
+        for s in pieces(n):
+            text[starts[s] + sizes[s]] = np.arange(n - 1 - s.start, n - 1 - s.stop, -1)
+        return text, sizes, starts
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+
+def _marked(order: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, folder: str | None) -> np.ndarray:
+    """Of every place whether its suffix shares ``least`` symbols with one of another document; a group of such suffixes may go on from piece to piece."""
+    groups = sum(int(((order[s] & 63) < least).sum()) for s in pieces(len(order)))
+    low, high = _array(folder, "group-low", groups, np.int64), _array(folder, "group-high", groups, np.int64)
+    done = 0
+    for s in pieces(len(order)):
+        seg = np.searchsorted(starts, order[s] >> 6, side="right") - 1
+        head = (order[s] & 63) < least
+        begin = np.flatnonzero(head)
+        if not len(begin) or begin[0]:  # the group before goes on
+            stop = begin[0] if len(begin) else len(head)
+            low[done - 1], high[done - 1] = min(low[done - 1], lo[seg[:stop]].min()), max(high[done - 1], hi[seg[:stop]].max())
+        if len(begin):
+            low[done : done + len(begin)], high[done : done + len(begin)] = np.minimum.reduceat(lo[seg], begin), np.maximum.reduceat(hi[seg], begin)
+            done += len(begin)
+    mark = _array(folder, "marks", len(order), np.uint8)
+    for s in pieces(len(mark)):
+        mark[s] = 0
+    done = 0
+    for s in pieces(len(order)):
+        group = done - 1 + np.cumsum((order[s] & 63) < least)
+        mark[(order[s] >> 6)[low[group] != high[group]]] = 1
+        done = int(group[-1]) + 1
+    return mark
 
 
 def _repeats(least: int, room: int, base: str):
@@ -78,39 +149,34 @@ def _repeats(least: int, room: int, base: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: dict[str, list] = {c: [] for c in ("v", "sh", "lo", "hi", "len")}
-        words = []
-        for b in batches:
-            for c in cols:
-                cols[c].append(b[c].to_numpy())
-            words += [np.frombuffer(x, np.uint32) for x in b["words"].to_pylist()]
-        if not words:
-            return
-        v, sh, lo, hi, owned = (np.concatenate(cols[c]) for c in cols)
-        sizes = np.array([len(w) for w in words])
-        text = _dense(np.concatenate(words), sizes)
-        del words
-        folder = None
-        if len(text) > room:
-            os.makedirs(folder := f"{base}/suffixes-{uuid.uuid4().hex}")
+        words = _Words(room, base)
         try:
-            pos, shared = suffix_order(text, least, room, folder)
-            starts = np.cumsum(sizes + 1) - sizes - 1
-            seg = np.searchsorted(starts, pos, side="right") - 1
-            head = groups(shared, least)
-            many = np.diff(np.r_[head, len(pos)]) > 1
-            apart = (np.minimum.reduceat(lo[seg], head) != np.maximum.reduceat(hi[seg], head)) & (many | (lo[seg[head]] != hi[seg[head]]))
-            mark = np.zeros(len(text) + 1, bool)
-            mark[pos[np.repeat(apart, np.diff(np.r_[head, len(pos)]))]] = True
+            for b in batches:
+                for c in cols:
+                    cols[c].append(b[c].to_numpy())
+                for x in b["words"]:
+                    words.add(np.frombuffer(x.as_buffer(), np.uint32))
+            if not words.sizes:
+                return
+            v, sh, lo, hi, owned = (np.concatenate(cols[c]) for c in cols)
+            text, sizes, starts = words.text()
+            order = packed_order(text, least, room, words.folder)
+            mark = _marked(order, starts, lo, hi, least, words.folder)
+            n, i = len(sizes), 0
+            while i < n:  # whole segments at a time
+                j = max(i + 1, int(np.searchsorted(starts, starts[i] + induced._STEP)))
+                size = sizes[i:j] + 1
+                owner = np.repeat(np.arange(i, j), size)
+                inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                hit = (mark[starts[i] : starts[i] + len(owner)] != 0) & (inside < owned[owner])
+                new = np.r_[True, owner[1:] != owner[:-1]]
+                edge = np.flatnonzero(hit & (new | np.r_[True, ~hit[:-1]]))
+                stop = np.flatnonzero(hit & (np.r_[new[1:], True] | np.r_[~hit[1:], True])) + 1
+                s = owner[edge]
+                yield pa.RecordBatch.from_pydict({"v": pa.array(v[s]), "sh": pa.array(sh[s]), "at": pa.array(inside[edge].astype(np.int32)), "n": pa.array((stop - edge).astype(np.int32))})
+                i = j
         finally:
-            if folder:
-                shutil.rmtree(folder, ignore_errors=True)
-        owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-        inside = np.arange(len(text)) - starts[owner]
-        mark[:-1] &= inside < owned[owner]
-        edge = np.flatnonzero(mark[:-1] & np.r_[True, ~mark[:-2] | (owner[1:] != owner[:-1])])
-        stop = np.flatnonzero(mark[:-1] & np.r_[~mark[1:-1] | (owner[1:] != owner[:-1]), True]) + 1
-        s = owner[edge]
-        yield pa.RecordBatch.from_pydict({"v": pa.array(v[s]), "sh": pa.array(sh[s]), "at": pa.array(inside[edge].astype(np.int32)), "n": pa.array((stop - edge).astype(np.int32))})
+            words.close()
 
     return run
 
@@ -120,7 +186,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 <<
 
     Exact: a word is in a passage if it is in a window of ``least`` words that occurs in two documents. Words are folded in case and
     stripped of punctuation, ``start`` counts them from 0. Windows that overlap or touch are one passage. ``shard_words``: words that a
-    shard is meant to have (a key is never divided); ``room``: suffixes held in memory, beyond that a shard's queues are files.
+    shard is meant to have (a key is never divided); ``room``: suffixes held in memory, beyond that all that is as long as the shard is in files.
 
     Null ids, null texts and texts of fewer than ``least`` words have none. Rows of one id are one document, what they alone repeat
     is not reported; a passage is then given by its place in either row. No rows: no rows. Other columns aren't looked at. Ids are integers.
@@ -158,7 +224,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 <<
                     yield pa.RecordBatch.from_pydict({**{c: pa.array(x, pa.int64()) for c, x in zip(("v", "sh", "lo", "hi"), cols)}, "len": pa.array(cols[4], pa.int32()), "words": pa.array(cols[5], pa.binary())})
 
     held = lean.join(wanted, "rk").select("text", "segs").mapInArrow(take, "v long, sh long, lo long, hi long, len int, words binary")
-    base = local_path(shared_dir(spark))
+    base = shared_dir(spark)  # only a shard beyond room needs it to be a mounted folder
     flags = held.repartition(shards, "v").mapInArrow(_repeats(least, room, base), "v long, sh long, at int, n int")
     flags = written(flags.unionByName(alone), "repeats")
     runs = segs.join(flags, ["v", "sh"]).select("id", (F.col("a") + F.col("at")).alias("p"), (F.col("a") + F.col("at") + F.col("n") + (least - 1)).alias("e"))
@@ -169,4 +235,5 @@ def repeated_passages(docs: DataFrame, least: int = 50, shard_words: int = 1 <<
 
 
 def op9_repeated_passages(spark, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents; see :func:`repeated_passages` for nulls, short texts and repeated rows."""
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
