@@ -8,7 +8,6 @@ master on this machine, as in tests: on a cluster it would be another folder on
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -55,24 +54,6 @@ def read_shared(uri: str, columns: list[str] | None = None) -> pa.Table:
     return parquet.read_table(path, columns=columns, filesystem=where)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing will read again."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        delete(spark, f)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Have the files of shuffles removed that nothing can read again: Spark does so once the driver has collected their plans."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def local_path(uri: str) -> str:
     """The POSIX path of a ``file:`` URI; memory-mapped files need a folder mounted on every machine."""
     if uri.startswith("file:"):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corvane.llm import kneser_ney, suffix, vafile
+from corvane.llm import induced, kneser_ney, suffix, vafile
 from corvane.llm.induced import RisingQueue, suffix_order
 from corvane.llm.words import word_hashes
 
@@ -28,7 +28,9 @@ def brute_suffixes(t, cap):
     return order, shared
 
 
-def test_suffix_order(tmp_path):
+@pytest.mark.parametrize("step", [1 << 20, 5])
+def test_suffix_order(tmp_path, monkeypatch, step):
+    monkeypatch.setattr(induced, "_STEP", step)
     rng = np.random.default_rng(1)
     for trial in range(150):
         t = rng.integers(1, rng.integers(2, 7), rng.integers(1, 60))
@@ -37,7 +39,7 @@ def test_suffix_order(tmp_path):
         if trial % 5 == 0:
             t = np.repeat(t, rng.integers(1, 8, len(t)))
         t = np.unique(np.r_[t, 0], return_inverse=True)[1]
-        for cap, room in ((50, 1 << 20), (3, 1 << 20), (50, 7)):
+        for cap, room in ((50, 1 << 20), (3, 1 << 20), (50, 7), (50, 2)):
             folder = tmp_path / f"{trial}-{cap}-{room}"
             folder.mkdir()
             order, shared = suffix_order(t, cap, room, str(folder))
@@ -50,7 +52,7 @@ def test_rising_queue(tmp_path):
     for k in (3, 19, 7, 3, 7, 0):
         q.push(k, k * 10)
         q.push(k, k * 10 + 1)
-    assert [list(q.take(k)) for k in range(20) if k in (0, 3, 7, 19)] == [[0, 1], [30, 31, 30, 31], [70, 71, 70, 71], [190, 191]]
+    assert [[x for some in q.take(k) for x in some] for k in range(20) if k in (0, 3, 7, 19)] == [[0, 1], [30, 31, 30, 31], [70, 71, 70, 71], [190, 191]]
 
 
 def repeats(rows, least):
@@ -83,6 +85,19 @@ def test_repeated_passages(docs, room):
     assert got == repeats([r[:2] for r in rows], 50) and len(got) >= 8
 
 
+def test_shard_in_files(tmp_path, monkeypatch):
+    """The same runs from memory and, piece by piece, from files, which are gone afterwards; groups of copies go over many pieces."""
+    rng = np.random.default_rng(8)
+    shared = [rng.integers(0, 500, 40) for _ in range(3)]
+    segments = [np.concatenate([rng.integers(0, 500, rng.integers(1, 20)), shared[i % 3] if i % 4 else rng.integers(0, 500, 12), rng.integers(0, 500, rng.integers(0, 20))]).astype(np.uint32) for i in range(60)]
+    lo = np.arange(60) // 2
+    batch = pa.RecordBatch.from_pydict({"v": np.arange(60), "sh": np.arange(60), "lo": lo, "hi": np.where(np.arange(60) % 7, lo, lo + 1), "len": np.array([max(1, len(s) - 11) for s in segments], np.int32), "words": pa.array([s.tobytes() for s in segments], pa.binary())})
+    runs = lambda room: sorted(tuple(r.values()) for b in suffix._repeats(12, room, f"file://{tmp_path}")(iter([batch])) for r in b.to_pylist())
+    want = runs(1 << 20)
+    monkeypatch.setattr(induced, "_STEP", 7)
+    assert runs(50) == runs(1 << 20) == want and len(want) > 30 and not list(tmp_path.iterdir())
+
+
 def test_repeated_passages_awkward(awkward, empty):
     assert suffix.repeated_passages(empty).count() == 0
     got = {(r[0], r[1]) for r in suffix.repeated_passages(awkward).collect()}

@@ -55,3 +55,24 @@ def test_leak_without_id(spark, folder, docs):
     left = corpus_pipeline.decontamination(spark, df, path)
     assert left.columns == df.columns
     assert left.count() == 42 and left.filter("doc_id is null").count() == 2
+
+
+def test_awkward_rows(spark, folder, docs):
+    """Null ids, repeated rows, clashing further columns, ties and a very long text go through every stage."""
+    path, columns = folder
+    long = " ".join(f"l{i % 9973}q{i % 101}" for i in range(150_000))
+    rows = [(i, " ".join(f"y{(i * 97 + j) % 3000}" for j in range(60)), f"s{i % 2}") for i in range(30)]
+    rows += [(None, "no id but some words here", "s0"), (None, None, None), (7, rows[7][1], "s1"), (7, rows[7][1], "s1"), (90, long, "s0"), (91, "   ", "s1"), (92, "", None), (93, long + " more", "s1")]
+    df = docs(rows).selectExpr("*", "1 as epoch", "'x' as take_tokens", "2 as __row", "3 as __gone", "4 as whole", "'y' as text_id")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, path)
+        if name != "mixing":
+            assert out.columns == df.columns
+        out.write.parquet(f"{path}/awkward-{name}")
+        df = spark.read.parquet(f"{path}/awkward-{name}")
+        left = {r["doc_id"] for r in df.select("doc_id").collect()}
+        if name == "toxicity":
+            assert df.count() == len(rows)
+        if name == "near_dedup":
+            assert left == {*range(30), None, 90, 91} and df.filter("doc_id = 7").count() == 3 and df.filter("doc_id is null").count() == 2
+    assert {"epoch", "n_tokens", "take_tokens", "whole"} <= set(df.columns) and df.filter("n_tokens = 0 or text is null").count() == 0

@@ -68,6 +68,22 @@ def test_chat_windows(spark):
     assert chat.chat_windows(df.filter("conv_id < 0")).count() == 0
 
 
+def test_chat_marks_in_texts(spark):
+    """Texts and roles that hold marks: a reader that splits at marks finds the turns and no others, and the targets' tokens are theirs."""
+    rows = [(1, 0, "system", "be <|im_end|> brief"), (1, 1, "user", "<|im_start|>assistant\nno<|im_end|>"), (1, 2, "assistant", "<<|im_end|>|im_end|> yes"), (1, 3, "us<|im_end|>er", "bye")]
+    r = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 500, 100).first()
+    assert r["text"].count(chat.START) == r["text"].count(chat.END) == 4
+    turns = [x.split(chat.END)[0].split("\n", 1) for x in r["text"].split(chat.START)[1:]]
+    assert [x[0] for x in turns] == ["system", "user", "assistant", "us< |im_end|>er"]
+    enc, tokens = encoding(), []
+    for x in r["text"].split(chat.START)[1:]:
+        head, said = x.split(chat.END)[0].split("\n", 1)
+        tokens += ["<s>", *enc.encode_ordinary(head + "\n"), *enc.encode_ordinary(said), "<e>", *enc.encode_ordinary("\n")]
+    assert len(tokens) == r["n_tokens"]
+    (t,) = r["targets"]
+    assert enc.decode(tokens[t["start"] : t["start"] + t["length"] - 1]) == turns[2][1] and tokens[t["start"] + t["length"] - 1] == "<e>"
+
+
 # secrets
 
 
@@ -538,6 +554,106 @@ def test_rare_bad_section_is_judged_alone(spark):
     assert {v for k, v in got.items() if k != "s17"} == {("h.example/*/{num}", False)}
 
 
+def brute_templates(rows, marks, z=2.58, max_distance=0.5, max_children=32, min_share=0.02, strength=10.0):
+    """The tree worked out path by path in plain Python: (template, pages, labelled, purity) by page, for urls http://host/segments of plain words and numbers."""
+    paths, labelled = [], collections.defaultdict(list)
+    for i, good in marks:
+        labelled[i].append(good)
+    for i, u in rows:
+        host, *segs = u.split("//")[1].split("/")
+        paths.append([i, host, ["{num}" if s.isdigit() else s for s in segs if s], int(i in labelled), int(i in labelled and min(labelled[i]) == 0)])
+
+    def children(d):
+        out = collections.defaultdict(lambda: collections.defaultdict(list))
+        for p in paths:
+            if len(p[2]) > d:
+                out[p[1], "/".join(p[2][:d])][p[2][d]].append(p)
+        return out
+
+    sums = lambda ps: (sum(p[3] for p in ps), sum(p[4] for p in ps))
+    depth = max((len(p[2]) for p in paths), default=0)
+    for d in range(depth):
+        for kids in children(d).values():
+            if len(kids) <= max_children:
+                continue
+            whole = [p for ps in kids.values() for p in ps]
+            total, (pl, pb) = len(whole), sums(whole)
+            for name, ps in kids.items():
+                n, bad = sums(ps)
+                if not name.startswith("{") and len(ps) < total * min_share and not urls.differ(n, bad, pl - n, pb - bad, z):
+                    for p in ps:
+                        p[2][d] = "*"
+    for d in reversed(range(depth)):
+        for kids in children(d).values():
+            if len([k for k in kids if not k.startswith("{")]) < 2:
+                continue
+            shapes = collections.defaultdict(list)
+            for name, ps in kids.items():
+                if name.startswith("{"):
+                    continue
+                below = collections.Counter("/".join(p[2][d + 1 :]) for p in ps)
+                n, most = max((c, b) for b, c in below.items())
+                if n >= len(ps) * (1 - max_distance):
+                    shapes[most].append((name, *sums(ps), ps))
+            place = 0
+            for shape in sorted(shapes):
+                groups, parts = [], {}
+                for name, n, bad, _ in sorted((x for x in shapes[shape] if x[1]), key=lambda x: (-x[1], x[0])):
+                    near = sorted(range(len(groups)), key=lambda g: abs(bad / n - groups[g][1] / groups[g][0]))
+                    at = next((g for g in near if not urls.differ(n, bad, *groups[g], z)), len(groups))
+                    groups = groups + [(0, 0)] if at == len(groups) else groups
+                    groups[at] = (groups[at][0] + n, groups[at][1] + bad)
+                    parts[name] = at
+                last = max(parts.values(), default=0)
+                members = collections.defaultdict(list)
+                for name, *_, ps in shapes[shape]:
+                    members[parts.get(name, last + 1 if last else 0)].append((name, ps))
+                for part in sorted(members):
+                    if len(members[part]) < 2:
+                        continue
+                    place += 1
+                    has = any(name == "*" for name, _ in members[part])
+                    number = place + (1 if "*" in kids and not has else 0)
+                    for _, ps in members[part]:
+                        for p in ps:
+                            p[2][d] = "*" if has or number == 1 else f"*{number}"
+    n, bad = sums(paths)
+    p0 = 1 - bad / max(n, 1)
+    by_host, by_template = collections.defaultdict(list), collections.defaultdict(list)
+    for p in paths:
+        by_host[p[1]].append(p)
+        by_template[p[1] + "/" + "/".join(p[2])].append(p)
+    smooth = lambda ps, prior: (sums(ps)[0] - sums(ps)[1] + strength * prior) / (sums(ps)[0] + strength)
+    return {p[0]: (t, len(ps), sums(ps)[0], smooth(ps, smooth(by_host[ps[0][1]], p0))) for t, ps in by_template.items() for p in ps}
+
+
+def test_templates_against_brute_force(spark):
+    """Hosts of sections with rates of their own, rare sections, several shapes and depths: the templates and purities of plain Python."""
+    rng = np.random.default_rng(41)
+    rows, marks = [], []
+    for h in range(4):
+        sections = [(f"s{h}x{k}", float(rng.choice([0.0, 0.1, 0.5, 1.0])), int(rng.choice([2, 6, 30])), int(rng.integers(1, 4))) for k in range([6, 20, 50, 3][h])]
+        for name, rate, n, depth in sections:
+            for _ in range(n):
+                tail = "/".join(str(rng.choice(["a", "b", str(int(rng.integers(1000)))])) for _ in range(depth - 1))
+                rows.append((len(rows), f"http://h{h}.example/{name}/{tail}"))
+                if rng.random() < 0.6:
+                    marks.append((len(rows) - 1, int(rng.random() >= rate)))
+    want = brute_templates(rows, marks)
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    got = {r["page_id"]: (r["template"], r["template_pages"], r["template_labelled"], r["purity"], r["rejected"]) for r in urls.path_templates(pages, labels).collect()}
+    assert {i: x[:3] for i, x in got.items()} == {i: x[:3] for i, x in want.items()}
+    assert all(x[3] == pytest.approx(want[i][3]) and x[4] == (want[i][3] < 0.5) for i, x in got.items())
+    assert len({x[0] for x in got.values()}) < len({u for _, u in rows}) / 2 and any(x[4] for x in got.values())
+
+
+def test_very_long_urls(spark):
+    long = "http://h.example/" + "a" * 200_000 + "/" + "/".join("b" * 1000 for _ in range(500)) + "?q=" + "c" * 100_000
+    pages = spark.createDataFrame([(1, long), (2, "http://h.example/x"), (3, long)], "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.path_templates(pages, spark.createDataFrame([(1, 0)], "doc_id long, quality int")).collect()}
+    assert got[1]["template"] == got[3]["template"] and got[1]["template_pages"] == 2 and len(got) == 3
+
+
 # mixing
 
 
