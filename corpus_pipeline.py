@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's ``docs``. All but the last return
-the columns of ``documents``.
+the columns of ``documents``, and further columns whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +21,26 @@ from corvane.llm.toxicity import fit_toxicity, toxicity_scores
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifiers don't reject. Null and empty texts are kept."""
+    """Documents that the classifiers don't reject. Null and empty texts are kept, rows without an id too; repeated rows share one fate. Without toxic labels all stay."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity_scores(docs, model).filter("not toxic_flag").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates."""
+    """One document, that of the least id, of each group of near duplicates.
+
+    Rows without an id or a text take no part and stay. Texts without words are copies of each other: one of their ids
+    stays. Rows of one id are one document: of a repeated row each stays or goes with its id.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Null and empty texts hold none and stay. Rows of one id are one document: a passage in one of them removes all. A row
+    without an id is a document of its own. A benchmark without items of five words removes nothing.
+    """
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # a row without an id is a document of its own
     keyed = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64(*docs.columns)))
@@ -41,12 +49,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by ``[kind]``."""
+    """All documents, their secrets replaced by ``[kind]`` and ``n_chars`` set anew where that was done; null and empty texts and all other rows come back as they are."""
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with epoch and tokens to take, every source at the same share of as many tokens as there are."""
+    """Documents with epoch and tokens to take, every source at the same share of as many tokens as there are.
+
+    Texts without tokens, null ones too, aren't chosen. A null source is a source; rows without an id and repeated rows count each for
+    itself. Columns named epoch, n_tokens or take_tokens are replaced.
+    """
     return mix_sources(docs)
 
 
