@@ -6,9 +6,9 @@ Sivertsen (2018). A document is the set of its word shingles, sketched by
 a few of the sketch positions are chosen at random, the same for all documents
 there, and for each chosen one the node branches by the value at that position:
 similar documents stay together with a probability of their similarity at every
-branch. Small nodes are compared exhaustively; larger ones branch on. A node that stays large is one of documents so
-alike that no branch parts them: there a few pivots are compared with all, and then only what they didn't connect to the
-largest group, again with all. Independent
+branch. Small nodes are compared exhaustively. In a larger one a few pivots are compared with all; where they leave
+only few documents outside its largest group, these are compared with all, and otherwise it branches on: documents so
+alike that no branch parts them are thus connected at once. Independent
 trees are repeated until a pair at the threshold is met with the target recall.
 
 A document can work out its own path, so a level costs one count of node sizes
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from corvane.llm.words import combine, mix, word_hashes
 
 WIDTH = 128
 _ALL_PAIRS, _ROWS_HELD = 24, 1 << 15
-_PIVOTS = 64
+_PIVOTS, _CHUNKS, _BLOCK, _IDS = 64, 4, 512, 1 << 20
 _EMPTY = np.uint64(0x5DEECE66D)
 
 
@@ -166,28 +167,12 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
                 deep, child = _branches(child, sig[row], chance)
                 yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(ids[row[deep]])], names=["node", "id"])
 
-    def deeper(batches):
+    def deeper(batches):  # by a byte of each value, which is at hand here
         for b in batches:
-            sig = _stack(b["sig"].to_pylist())
+            sig = np.frombuffer(b"".join(b["low"].to_pylist()), np.uint8).reshape(-1, WIDTH)
             row, child = _branches(b["node"].to_numpy().astype(np.uint64), sig, chance)
             yield pa.RecordBatch.from_arrays([pa.array(child.astype(np.int64)), pa.array(b["id"].to_numpy()[row])], names=["node", "id"])
 
-    at = sketched.mapInArrow(first, "node long, id long")
-    leaves: DataFrame | None = None
-    for depth in range(max_depth + 1):
-        level = written(at, "paths")
-        sizes = level.groupBy("node").count().filter("count > 1")
-        last = depth == max_depth
-        kept = level.join(sizes, "node")
-        done = kept if last else kept.filter(F.col("count") <= small)
-        done = done.select("node", "id", "count")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if last:
-            break
-        large = kept.filter(F.col("count") > small).select("node", "id")
-        if large.isEmpty():
-            break
-        at = large.join(sketched, "id").select("node", "id", "sig").mapInArrow(deeper, "node long, id long")
     error = math.sqrt(threshold * (1 - threshold) / WIDTH)
     by_chance = lambda t: math.ceil((t + (1 - t) / 256) * WIDTH)  # noqa: E731  unequal values agree in a byte by chance
     need = max(1, by_chance(threshold - 2 * error))
@@ -228,9 +213,17 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
 
     zero = F.lit(0)
     low = sketched.select("id", "low")
-    out = compared(leaves.filter(F.col("count") <= small).select("node", zero.alias("x"), zero.alias("y"), "id").join(low, "id"))
-    large = leaves.filter(F.col("count") > small)
-    if not large.isEmpty():
+    out: list[DataFrame] = []
+    leaves: DataFrame | None = None
+    at = sketched.mapInArrow(first, "node long, id long")
+    for depth in range(max_depth + 1):
+        level = written(at, "paths")
+        kept = level.join(level.groupBy("node").count().filter("count > 1"), "node")
+        few = kept.filter(F.col("count") <= small).select("node", "id")
+        leaves = few if leaves is None else leaves.unionByName(few)
+        large = kept.filter(F.col("count") > small)
+        if large.isEmpty():
+            break
         # blocks of a large node by a hash of the id: no task sees a whole node
         large = large.withColumn("nb", F.ceil(F.col("count") / F.lit(small)).cast("int")).join(low, "id")
         large = written(large.withColumn("y", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).select("node", "nb", "y", "id", "low"), "large-nodes")
@@ -239,17 +232,20 @@ def near_duplicate_edges(sketched: DataFrame, threshold: float, recall: float, r
         spread = pivots.select("node", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("y"), zero.alias("kind"), "id", "low")
         both = spread.unionByName(large.select("node", "y", F.lit(1).alias("kind"), "id", "low")).repartition("node", "y").sortWithinPartitions("node", "y", "kind", "id")
         joined = written(both.mapInArrow(_to_pivots(sure), "node long, id long, to long"), "to-pivots")
-        out = out.unionByName(joined.filter("to <> id").select(F.col("id").alias("a"), F.col("to").alias("b"), F.lit(True).alias("sure")))
-        groups = joined.filter("to is not null").groupBy("node", "to").count()
-        main = groups.groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("main"))
+        out.append(joined.filter("to <> id").select(F.col("id").alias("a"), F.col("to").alias("b"), F.lit(True).alias("sure")))
+        main = joined.filter("to is not null").groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", "to")).alias("main"))
         rest = joined.join(main, "node", "left").filter("main is null or to is null or to <> main").select("node", "id").distinct()
         rest = written(rest.join(large, ["node", "id"]), "rest-of-nodes")
-        chunks = rest.groupBy("node").agg(F.ceil(F.count("*") / F.lit(small)).cast("int").alias("nr"))
-        rest = rest.join(chunks, "node").withColumn("x", F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.col("nr")).cast("int"))
+        chunks = rest.groupBy("node").agg(F.count("*").alias("n"))
+        chunks = written(chunks.select("node", F.ceil(F.col("n") / F.lit(small)).cast("int").alias("nr")), "rest-sizes")  # a row a large node
+        done = chunks if depth == max_depth else chunks.filter(F.col("nr") <= _CHUNKS)
+        rest = rest.join(done, "node").withColumn("x", F.pmod(F.xxhash64(F.col("id"), F.lit(5)), F.col("nr")).cast("int"))
         left = rest.select("node", "x", F.explode(F.sequence(zero, F.col("nb") - 1)).alias("y"), F.col("y").alias("own"), "id", "low").filter("y <> own").drop("own")
-        right = large.join(chunks, "node").select("node", F.explode(F.sequence(zero, F.col("nr") - 1)).alias("x"), "y", "id", "low")
-        out = out.unionByName(compared(left.unionByName(right)))
-    return out.distinct()
+        right = large.join(done, "node").select("node", F.explode(F.sequence(zero, F.col("nr") - 1)).alias("x"), "y", "id", "low")
+        out.append(compared(left.unionByName(right)))
+        at = large.join(chunks.filter(F.col("nr") > _CHUNKS), "node").select("node", "id", "low").mapInArrow(deeper, "node long, id long")
+    out.append(compared(leaves.select("node", zero.alias("x"), zero.alias("y"), "id").join(low, "id")))
+    return reduce(DataFrame.unionByName, out).distinct()
 
 
 def _to_pivots(sure: int):
@@ -309,9 +305,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("group")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("group"))).distinct()
 
 
+def _ids(ids: DataFrame) -> DataFrame:
+    """Ids to join with wide rows: at most _IDS of them are broadcast, so that the rows stay where they are; more are shuffled with the rows."""
+    return F.broadcast(ids) if ids.limit(_IDS + 1).count() <= _IDS else ids
+
+
 def _confirmed(pairs: DataFrame, lean: DataFrame, heads: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets of shingles have a Jaccard coefficient of ``threshold`` at least."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
 
     def sets(batches):
         for b in batches:
@@ -321,18 +322,35 @@ def _confirmed(pairs: DataFrame, lean: DataFrame, heads: DataFrame, threshold: f
                 yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), pa.array(_wholes(h, first).astype(np.int64)), pa.array(own, pa.binary())], names=["id", "whole", "set"])
 
     def alike(batches):
+        """Sets of a block of a group of pairs come first, then its pairs."""
+        key, sets = None, {}
         for b in batches:
-            keep = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and both >= threshold * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    held = lean.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, whole long, set binary")
-    held = written(held.join(heads, ["id", "whole"], "left_semi").dropDuplicates(["id"]), "sets")  # of an id's rows the one that was sketched
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+            out = []
+            for *now, kind, x, y, data in zip(*(b[c].to_pylist() for c in ("group", "x", "y", "kind", "a", "b", "set"))):
+                if now != key:
+                    key, sets = now, {}
+                if not kind:
+                    sets[x] = np.frombuffer(data, np.uint64)
+                elif x in sets and y in sets:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both and both >= threshold * (len(sets[x]) + len(sets[y]) - both):
+                        out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    held = lean.join(_ids(wanted), "id", "left_semi").mapInArrow(sets, "id long, whole long, set binary")
+    held = written(held.join(heads, ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "set"), "sets")  # of an id's rows the one that was sketched
+    # a set goes once to each block of its group of pairs, not with every pair
+    groups = components(pairs)
+    size = groups.groupBy("group").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).alias("nb"))
+    at = written(groups.join(size, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.col("nb")).alias("sub")), "places")
+    side = lambda c: at.select(F.col("id").alias(c), F.col("group").alias("group"), F.col("sub").alias(f"s{c}"))
+    placed = pairs.join(side("a"), "a").join(side("b").drop("group"), "b").select("group", F.least("sa", "sb").alias("x"), F.greatest("sa", "sb").alias("y"), "a", "b")
+    placed = written(placed, "placed-pairs")
+    needed = placed.select("group", "x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(held, "id")
+    none = F.lit(None)
+    both = needed.select("group", "x", "y", F.lit(0).alias("kind"), F.col("id").alias("a"), none.cast("long").alias("b"), "set")
+    both = both.unionByName(placed.select("group", "x", "y", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("set")))
+    return both.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y", "kind").mapInArrow(alike, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, recall: float = 0.95, rate: float = 3.0, small: int = 4096, max_depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,14 +375,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, shingle: int = 2, r
                 yield pa.RecordBatch.from_arrays([b["id"].slice(i, j - i), pa.array(whole.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["id", "whole", "sig", "low"])
 
     all_ = written(lean.mapInArrow(sketch, "id long, whole long, sig binary, low binary"), "sketches")
-    several = all_.groupBy("id").agg(F.min("whole").alias("chosen"), F.max("whole").alias("other")).filter("chosen <> other").select("id", "chosen")
+    several = all_.groupBy("id").agg(F.min("whole").alias("chosen"), F.max("whole").alias("other"), F.count("*").alias("rows")).filter("rows > 1")
     several = written(several, "repeated-ids")
-    if not several.isEmpty():
-        all_ = written(all_.join(several, "id", "left").filter("chosen is null or whole = chosen").drop("chosen"), "sketches")
-    heads = written(all_.groupBy("whole").agg(F.min("id").alias("head"), F.count_distinct("id").alias("n")), "copies")
-    copies = all_.select("id", "whole").join(heads.filter("n > 1"), "whole").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    one = all_.join(heads.select(F.col("head").alias("id"), "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "whole", "sig", "low")
-    one = written(one, "heads")
+    if not several.isEmpty():  # one row, and one text, an id
+        again = all_.join(_ids(several.select("id")), "id", "left_semi").join(several, "id").filter("whole = chosen").dropDuplicates(["id"])
+        all_ = written(all_.join(_ids(several.select("id")), "id", "left_anti").unionByName(again.select(*all_.columns)), "sketches")
+    heads = written(all_.groupBy("whole").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1"), "copies")
+    copies = written(all_.select("id", "whole").join(heads, "whole").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")), "copies")
+    one = written(all_.join(_ids(copies.select(F.col("b").alias("id"))), "id", "left_anti"), "heads")
     edges = written(near_duplicate_edges(one.select("id", "sig", "low"), threshold, recall, rate, small, max_depth), "alike")
     sure = copies.unionByName(edges.filter("sure").select("a", "b"))
     near = edges.filter("not sure").select("a", "b").distinct()
