@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,31 @@ from pyspark.sql import functions as F
 from corvane.functions.text import cjk_segmented, segment, tokens
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
-PHRASES = "query_id long, phrase int, length int, place int, term string"
+_PARTS = re.compile(r'\s+|"((?:[^"]|"")*)"|([^\W]+|[^\x00-\x7f]+)')
+
+
+def phrase_groups(text: str) -> list[list[str]]:
+    """The phrases of a query, one for each word between blanks: a row matches if it has all phrases of any group.
+
+    Words are alternatives, each put between quotation marks; a mark within a word ends them early. What is then outside is a word of
+    its own, and what follows without an OR belongs to one group, as in the query language of SQLite's full-text search. A query
+    that doesn't come out even matches nothing.
+    """
+    words = (segment(text) or "").split()
+    if '"' not in text:
+        return [[w] for w in words]
+    query, at = " OR ".join(f'"{w}"' for w in words), 0
+    groups: list[list[str]] = [[]]
+    while at < len(query):
+        m = _PARTS.match(query, at)
+        if not m or m[2] in ("AND", "NOT", "NEAR"):
+            return []
+        if m[2] == "OR":
+            groups.append([])
+        elif not m[0].isspace():
+            groups[-1].append(m[2] if m[1] is None else m[1].replace('""', '"'))
+        at = m.end()
+    return groups if all(groups) else []
 
 
 @dataclass
@@ -47,22 +72,22 @@ def build_index(chunks: DataFrame, id_col: str = "id", text_col: str = "chunk_te
 
 
 def phrases(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
-    """The phrases of queries (query id, text): one for each word between blanks, of as many tokens as punctuation leaves.
-
-    Alternatives: a row matches if any phrase occurs. A word that holds a lone quotation mark makes its whole query match nothing, blank queries too.
-    """
-    words = [(q, i, w) for q, text in queries for i, w in enumerate((segment(text) or "").split()) if (text.count('"') % 2 == 0)]
-    df = spark.createDataFrame(words, "query_id long, phrase int, word string").withColumn("t", tokens(F.col("word")))
-    return df.select("query_id", "phrase", F.size("t").alias("length"), F.posexplode("t").alias("place", "term"))
+    """The phrases of queries (query id, text), of as many tokens as punctuation leaves; see :func:`phrase_groups`. Phrases without tokens count for nothing."""
+    rows = [(q, g, w) for q, text in queries for g, group in enumerate(phrase_groups(text)) for w in group]
+    rows = [(q, i, g, w) for i, (q, g, w) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "query_id long, phrase int, grp int, word string").withColumn("t", tokens(F.col("word"))).filter(F.size("t") > 0)
+    df = df.withColumn("of", F.count("*").over(Window.partitionBy("query_id", "grp")).cast("int"))  # as many rows as the queries have words
+    return df.select("query_id", "phrase", "grp", "of", F.size("t").alias("length"), F.posexplode("t").alias("place", "term"))
 
 
 def phrase_matches(index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, phrase, id, tf) of every row that a phrase occurs in."""
+    """(query_id, phrase, grp, of, id, tf) of every row that a phrase occurs in."""
+    key = ["query_id", "phrase", "grp", "of", "id"]
     hits = index.postings.join(F.broadcast(wanted), "term")  # queries: as many rows as their words
-    single = hits.filter("length = 1").select("query_id", "phrase", "id", F.col("tf").cast("long").alias("tf"))
-    starts = hits.filter("length > 1").select("query_id", "phrase", "length", "id", "place", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("place"))
-    whole = starts.groupBy("query_id", "phrase", "length", "id", "start").agg(F.count("*").alias("n")).filter("n = length")
-    return single.unionByName(whole.groupBy("query_id", "phrase", "id").agg(F.count("*").alias("tf")))
+    single = hits.filter("length = 1").select(*key, F.col("tf").cast("long").alias("tf"))
+    starts = hits.filter("length > 1").select(*key, "length", "place", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("place"))
+    whole = starts.groupBy(*key, "length", "start").agg(F.count("*").alias("n")).filter("n = length")
+    return single.unionByName(whole.groupBy(*key).agg(F.count("*").alias("tf")))
 
 
 def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
@@ -74,8 +99,10 @@ def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
     idf = F.when(idf <= 0, FLOOR).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # summed in the order of the phrases: equal texts get equal scores on any cluster
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("phrase", "part"))), lambda x: x["part"])
-    return scored.withColumn("part", part).groupBy("query_id", "id").agg(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x).alias("bm25_score"))
+    scored = scored.withColumn("part", part).groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("phrase", "part", "grp", "of"))).alias("parts"))
+    counted = F.filter("parts", lambda x: F.size(F.filter("parts", lambda y: y["grp"] == x["grp"])) == x["of"])  # of whole groups
+    scored = scored.withColumn("parts", counted).filter(F.size("parts") > 0)
+    return scored.select("query_id", "id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("bm25_score"))
 
 
 def search_batch(index: TextIndex, wanted: DataFrame, k: int = 10) -> DataFrame:

@@ -64,7 +64,7 @@ def chunk_table(spark):
     return spark.createDataFrame(rows, "id long, chunk_text string, importance double, memory_type string, file_path string").withColumns({"chunk_index": F.lit(0), "tags": F.array().cast("array<string>"), "last_accessed": F.lit(None).cast("timestamp")})
 
 
-@pytest.mark.parametrize("query", ["deploy", "the", "deploy deploy memory", "key=value;", "of-the deploy", "2.0", "v2.0", "!!! deploy", "École", "nothing-here", "桌面端", ""])
+@pytest.mark.parametrize("query", ["deploy", "the", "deploy deploy memory", "key=value;", "of-the deploy", "2.0", "v2.0", "!!! deploy", "École", "nothing-here", "桌面端", "", 'deploy "now', '"deploy the"', 'the"x of"y', 'the"of deploy"the', '"deploy" the', '"the" "of"', '""', 'the"of"', '"the of value"', 'a"AND"b', '!"the of"! deploy'])
 def test_bm25_against_sqlite(spark, query):
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table f using fts5(t)")
@@ -72,7 +72,10 @@ def test_bm25_against_sqlite(spark, query):
 
     con.executemany("insert into f(rowid, t) values (?, ?)", [(i + 1, segment(t)) for i, t in enumerate(TEXTS)])
     match = " OR ".join(f'"{w}"' for w in segment(query).split())
-    want = con.execute("select rowid, -rank from f where f match ? order by rank limit 5", (match,)).fetchall() if match else []
+    try:
+        want = con.execute("select rowid, -rank from f where f match ? order by rank limit 5", (match,)).fetchall() if match else []
+    except sqlite3.OperationalError:
+        want = []
     got = [(r["id"] + 1, r["bm25_score"]) for r in bm25.search(bm25.build_index(chunk_table(spark)), query, 5).orderBy("rank").collect()]
     assert [g[0] for g in got] == [w[0] for w in want]
     assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
