@@ -52,6 +52,7 @@ class ChunkStore:
                 raise ValueError(f"{path}: a store needs a folder that is mounted on every machine")
         self.path = Path(path).absolute()
         self.dimension = dimension
+        self._scratch = f"tmp-{uuid.uuid4().hex[:12]}"
         self.ensure_tables()
 
     # the manifest
@@ -163,9 +164,10 @@ class ChunkStore:
         self._commit(now, insert, segments=segments[:first], deleted=kept, at=at, counted=False, dropped=merged, undeleted=[g["part"] for g in gone])
 
     def _changed(self, old: dict, insert: dict[str, DataFrame] | None = None, delete: DataFrame | None = None, **manifest) -> None:
-        self._commit(old, insert, delete, dropped=[], undeleted=[], **manifest)
-        for tmp in self.path.glob("tmp-*"):
-            shutil.rmtree(tmp, ignore_errors=True)
+        try:
+            self._commit(old, insert, delete, dropped=[], undeleted=[], **manifest)
+        finally:
+            shutil.rmtree(self.path / self._scratch, ignore_errors=True)
         self.compact()
 
     # reading
@@ -215,7 +217,7 @@ class ChunkStore:
 
     def _staged(self, rows: DataFrame) -> DataFrame:
         """``rows`` worked out once, for all that a change writes."""
-        tmp = f"{self.path}/tmp-{uuid.uuid4().hex}"
+        tmp = f"{self.path}/{self._scratch}/{uuid.uuid4().hex}"
         rows.write.parquet(tmp)
         return self.spark.read.schema(rows.schema).parquet(tmp)
 
@@ -248,8 +250,13 @@ class ChunkStore:
             n = rows.count()
             if n:
                 add = {"chunks": rows.drop("embedding"), "vectors": rows.select("id", "embedding"), "postings": postings_of(rows), "lengths": lengths_of(rows)}
-        if add is not None or delete is not None:
-            self._changed(old, add, None if delete is None else self._staged(delete.select("id").distinct()), next_id=start + n)
+        gone = None if delete is None else self._staged(delete.select("id").distinct())
+        if gone is not None and gone.isEmpty():
+            gone = None
+        if add is not None or gone is not None:
+            self._changed(old, add, gone, next_id=start + n)
+        else:
+            shutil.rmtree(self.path / self._scratch, ignore_errors=True)
         return n
 
     def add(self, records: DataFrame) -> int:

@@ -354,7 +354,7 @@ def _files_sql(text: str, name_suffix: str = "WHERE doc_id % 7 <> 0", extra: str
 
 
 _DIST = """q0 AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
-dist AS (SELECT vec_id + 1 AS id, vec_id AS chunk_index, 1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS distance
+dist AS (SELECT vec_id + 1 AS id, CAST(vec_id AS INTEGER) AS chunk_index, 1 - list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS distance
   FROM embeddings JOIN documents ON doc_id = vec_id, q0)"""
 _NEAREST = "SELECT id, chunk_index, round(distance, 6) + 0.0 AS distance, CAST(row_number() OVER (ORDER BY distance, id) AS INTEGER) AS rank FROM {} QUALIFY rank <= 10"
 
@@ -370,7 +370,7 @@ scored AS (SELECT tfs.id, greatest(CASE WHEN ln((n_rows - df + 0.5::DOUBLE) / (d
 hits AS (SELECT id, sum(part) AS bm25, row_number() OVER (ORDER BY sum(part) DESC, id) AS rank FROM scored GROUP BY id QUALIFY rank <= {k})"""
 
 
-_DOCS = "all_rows AS (SELECT doc_id + 1 AS id, doc_id AS chunk_index, text, lang, source FROM documents)"
+_DOCS = "all_rows AS (SELECT doc_id + 1 AS id, CAST(doc_id AS INTEGER) AS chunk_index, text, lang, source FROM documents)"
 # importance and decay are neutral: relevance has all the weight
 _SERVICE = f"""WITH {_DOCS}, {_DIST}, {_bm25(['estion', 'ndat'], 'all_rows', 30)},
 near AS (SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM dist QUALIFY rank <= 30),

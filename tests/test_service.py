@@ -1,5 +1,3 @@
-import hashlib
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,21 +8,7 @@ from corvane.service import RetrievalService
 from corvane.sources.files import as_text, list_files, read_files
 from corvane.store import ChunkStore
 from corvane.streaming.incremental import file_stream, index_stream
-
-
-class HashingEmbedder:
-    """Vectors of hashed words, for tests."""
-
-    dimension = 4
-
-    def embed(self, text):
-        out = [0.0] * self.dimension
-        for word in text.split():
-            out[hashlib.sha256(word.encode()).digest()[0] % self.dimension] += 1.0
-        return out
-
-    def embed_batch(self, texts):
-        return [self.embed(t) for t in texts]
+from tests.hashing import HashingEmbedder
 
 
 @pytest.fixture
@@ -57,7 +41,9 @@ def test_service(spark, folder):
     s = RetrievalService(spark, folder, HashingEmbedder())
     assert s.is_available and "file1.md" in s.list_files()
     assert s.rebuild_index() == 5
-    assert s.incremental_index() == 0
+    version = s.store._manifest["version"]
+    assert s.incremental_index() == 0 and s.store._manifest["version"] == version  # nothing has changed
+    assert not list(s.store.path.glob("tmp-*"))
     row = s.store.chunks().filter("file_path = 'file2.md'").first()
     assert (row["importance"], row["memory_type"], row["chunk_text"]) == (0.9, "episodic", "# Ponds\n\nFish swim.")
     c = s.store.counts().first()
