@@ -80,19 +80,21 @@ def phrases(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
     return df.select("query_id", "phrase", "grp", "of", F.size("t").alias("length"), F.posexplode("t").alias("place", "term"))
 
 
-def phrase_matches(index: TextIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, phrase, grp, of, id, tf) of every row that a phrase occurs in."""
+def phrase_matches(index: TextIndex, wanted: DataFrame, longest: int | None = None) -> DataFrame:
+    """(query_id, phrase, grp, of, id, tf) of every row that a phrase occurs in; ``longest``: tokens of the longest phrase, if that is known."""
     key = ["query_id", "phrase", "grp", "of", "id"]
     hits = index.postings.join(F.broadcast(wanted), "term")  # queries: as many rows as their words
     single = hits.filter("length = 1").select(*key, F.col("tf").cast("long").alias("tf"))
+    if longest == 1:
+        return single
     starts = hits.filter("length > 1").select(*key, "length", "place", F.explode("positions").alias("p")).withColumn("start", F.col("p") - F.col("place"))
     whole = starts.groupBy(*key, "length", "start").agg(F.count("*").alias("n")).filter("n = length")
     return single.unionByName(whole.groupBy(*key).agg(F.count("*").alias("tf")))
 
 
-def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
+def bm25(index: TextIndex, wanted: DataFrame, longest: int | None = None) -> DataFrame:
     """(query_id, id, bm25_score) of every match; a phrase in at least half of the rows counts with an idf of 1e-6."""
-    matches = phrase_matches(index, wanted)
+    matches = phrase_matches(index, wanted, longest)
     df = matches.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))  # a row a phrase
     scored = matches.join(F.broadcast(df), ["query_id", "phrase"]).join(index.lengths, "id").crossJoin(F.broadcast(index.totals()))  # one row
     idf = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -105,14 +107,19 @@ def bm25(index: TextIndex, wanted: DataFrame) -> DataFrame:
     return scored.select("query_id", "id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("bm25_score"))
 
 
-def search_batch(index: TextIndex, wanted: DataFrame, k: int = 10) -> DataFrame:
+def search_batch(index: TextIndex, wanted: DataFrame, k: int = 10, longest: int | None = None) -> DataFrame:
     """The ``k`` best of every query with ``rank``; ties by id."""
     if k < 1:
         raise ValueError(f"top_k must be at least 1, not {k}")
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), "id")
-    return bm25(index, wanted).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return bm25(index, wanted, longest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(index: TextIndex, query: str, k: int = 10) -> DataFrame:
-    """(id, bm25_score, rank) of the ``k`` best rows for one query."""
-    return search_batch(index, phrases(index.postings.sparkSession, [(0, query)]), k).drop("query_id")
+    """(id, bm25_score, rank) of the ``k`` best rows for one query. Its terms are known here: only their parts of a sorted index are read."""
+    spark = index.postings.sparkSession
+    wanted = phrases(spark, [(0, query)])
+    rows = wanted.collect()  # the query's words
+    known = spark.createDataFrame(rows, wanted.schema)
+    lean = TextIndex(index.postings.filter(F.col("term").isin(sorted({r["term"] for r in rows}))), index.lengths, index.known)
+    return search_batch(lean, known, k, max((r["length"] for r in rows), default=1)).drop("query_id")
