@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import scoring
-from corvane.functions.text import body, chunks, content_hash, frontmatter, parse_meta, tokens
+from corvane.functions.text import body, chunked, content_hash, frontmatter, parse_meta, tokens
 from corvane.operators import bm25
 from corvane.operators.diff import changes
 from corvane.operators.fusion import reciprocal_rank_fusion
@@ -86,8 +86,7 @@ def tokenize_counts(spark, d):
 
 
 def term_df(spark, d):
-    words = _table(spark, d, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    return words.groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return bm25.term_counts(_table(spark, d, "documents"), F.col("text"))
 
 
 def _bm25(query: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -102,7 +101,7 @@ def rrf_fusion(spark, d):
 
 def _scored(mode: SearchMode, memory_type: str | None = None, min_score: float = 0.0) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        engine = HybridSearch(_chunks(spark, d), _vectors(spark, d), _index(spark, d))
+        engine = HybridSearch(_chunks(spark, d), _vectors(spark, d), None if mode is SearchMode.VECTOR_ONLY else _index(spark, d))
         found = engine.search(QUERY, _query_vector(spark, d), 10, memory_type, min_score, mode, AS_OF)
         r = lambda c: F.round(c, 6).alias(c)
         return found.select("id", "file_path", "memory_type", r("semantic_score"), r("fts_score"), r("rrf_score"), "importance", r("temporal_decay"), r("hybrid_score"))
@@ -126,7 +125,7 @@ def min_score_filter(spark, d):
 def chunk_documents(spark, d):
     """Chunks of all documents, lines taken for paragraphs."""
     text = F.regexp_replace("text", "\n", "\n\n")
-    pieces = _table(spark, d, "documents").select("doc_id", F.posexplode(chunks()(text)).alias("chunk_index", "chunk_text"))
+    pieces = chunked(_table(spark, d, "documents"), "doc_id", text)
     return pieces.select("doc_id", "chunk_index", F.length("chunk_text").alias("n_chars"), content_hash(F.col("chunk_text")).alias("content_hash"))
 
 
